@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import table
 from tidemark.llm.exact_dedup import exact_dedup
+from tidemark.llm.near_dedup import near_dedup
 from tidemark.llm.url_filter import filter_urls
 
 # The rules that the query's contract states, and the hosts whose pages are listed.
@@ -86,11 +87,41 @@ SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
 FROM d WINDOW g AS (PARTITION BY text_sha256)
 """
 
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup(table(spark, sf_dir, "documents"), width=4)
+
+
+OP9_SQL = """
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+         'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w
+  FROM documents),
+sets AS MATERIALIZED (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [hash(array_to_string(w, ' '))]
+    ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: hash(array_to_string(w[i:i + 3], ' ')))) END AS s
+  FROM words),
+sizes AS (SELECT doc_id, len(s) AS n FROM sets),
+tokens AS MATERIALIZED (SELECT doc_id, unnest(s) AS t FROM sets),
+links AS MATERIALIZED (
+  SELECT a.doc_id AS u, b.doc_id AS v
+  FROM tokens a JOIN tokens b ON a.t = b.t AND a.doc_id < b.doc_id
+  JOIN sizes x ON x.doc_id = a.doc_id JOIN sizes y ON y.doc_id = b.doc_id
+  GROUP BY a.doc_id, b.doc_id, x.n, y.n HAVING 100 * count(*) >= 80 * (x.n + y.n - count(*))),
+both_ways AS (SELECT u, v FROM links UNION ALL SELECT v, u FROM links),
+reach AS (
+  SELECT doc_id AS node, doc_id AS seen FROM documents
+  UNION SELECT r.node, b.v FROM reach r JOIN both_ways b ON b.u = r.seen)
+SELECT s.doc_id, s.n AS n_shingles, c.component_id, s.doc_id = c.component_id AS kept
+FROM sizes s JOIN (SELECT node, min(seen) AS component_id FROM reach GROUP BY node) c ON c.node = s.doc_id
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_url_filter": op3_url_filter,
     "op8_exact_dedup": op8_exact_dedup,
+    "op9_near_dedup": op9_near_dedup,
 }
 ORACLES: dict[str, str] = {
     "op3_url_filter": OP3_SQL,
     "op8_exact_dedup": OP8_SQL,
+    "op9_near_dedup": OP9_SQL,
 }
