@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import table
+from tidemark.llm.decontaminate import contamination
 from tidemark.llm.exact_dedup import exact_dedup
 from tidemark.llm.near_dedup import near_dedup
+from tidemark.llm.sentencepiece_codec import encode_documents
 from tidemark.llm.url_filter import filter_urls
 
 # The rules that the query's contract states, and the hosts whose pages are listed.
@@ -25,6 +27,9 @@ LISTED_LANGS = ["de", "en", "es", "fr"]
 LISTED_PER_LANG = 1000
 
 
+SENTENCEPIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+
+
 def listed_urls(spark: SparkSession) -> DataFrame:
     """The list of the query: each host's numbered pages in each language."""
     hosts = F.explode(F.array(*map(F.lit, LISTED_HOSTS))).alias("host")
@@ -35,6 +40,12 @@ def listed_urls(spark: SparkSession) -> DataFrame:
     )
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str, model_path: str = SENTENCEPIECE_MODEL) -> DataFrame:
+    """Ids of every whole text, with a digest that a reader can recompute, round trip and parity."""
+    found = encode_documents(table(spark, sf_dir, "documents"), model_path)
+    return found.withColumn("ids_sha256", F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256))
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"), listed_urls(spark), URL_RULES)
 
@@ -73,6 +84,38 @@ FROM ruled
 """
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+OP4_SQL = """
+WITH doc_words AS MATERIALIZED (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+         'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+item_words AS MATERIALIZED (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+         'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark),
+starts AS (SELECT item_id, w, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS i FROM item_words WHERE len(w) > 0),
+windows AS MATERIALIZED (
+  SELECT DISTINCT item_id, least(len(w), 13) AS n, hash(array_to_string(w[i:i + 12], ' ')) AS h FROM starts),
+sizes AS (SELECT DISTINCT n FROM windows),
+places AS (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM doc_words, sizes WHERE len(w) >= n),
+grams AS MATERIALIZED (SELECT doc_id, n, i, hash(array_to_string(w[i:i + n - 1], ' ')) AS h FROM places),
+found AS MATERIALIZED (
+  SELECT g.doc_id, g.i, g.n, x.item_id FROM grams g JOIN windows x ON x.h = g.h AND x.n = g.n),
+hit AS (
+  SELECT doc_id, count(DISTINCT p) AS n_hit
+  FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM found) GROUP BY doc_id),
+items AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS id FROM found WHERE item_id IS NOT NULL) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(h.n_hit, 0) AS n_hit, coalesce(i.n_items, 0) AS n_items,
+       sha256(coalesce(i.ids, '')) AS items_sha256,
+       coalesce(h.n_hit, 0) > 0 AND 20 * coalesce(h.n_hit, 0) >= len(d.w) AS contaminated
+FROM doc_words d LEFT JOIN hit h ON h.doc_id = d.doc_id LEFT JOIN items i ON i.doc_id = d.doc_id
+"""
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -116,12 +159,15 @@ FROM sizes s JOIN (SELECT node, min(seen) AS component_id FROM reach GROUP BY no
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_sentencepiece": op2_sentencepiece,
     "op3_url_filter": op3_url_filter,
+    "op4_decontaminate": op4_decontaminate,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_near_dedup": op9_near_dedup,
 }
 ORACLES: dict[str, str] = {
     "op3_url_filter": OP3_SQL,
+    "op4_decontaminate": OP4_SQL,
     "op8_exact_dedup": OP8_SQL,
     "op9_near_dedup": OP9_SQL,
 }
