@@ -11,10 +11,12 @@ from tidemark.llm.common import table
 from tidemark.llm.decontaminate import contamination
 from tidemark.llm.exact_dedup import exact_dedup
 from tidemark.llm.near_dedup import near_dedup
+from tidemark.llm.pii import find_personal_data
 from tidemark.llm.quality import score_quality
 from tidemark.llm.sentencepiece_codec import encode_documents
 from tidemark.llm.toxicity import score_toxicity
 from tidemark.llm.url_filter import filter_urls
+from tidemark.llm.warc import write_archives
 
 # The rules that the query's contract states, and the hosts whose pages are listed.
 URL_RULES = [
@@ -118,6 +120,10 @@ FROM doc_words d LEFT JOIN hit h ON h.doc_id = d.doc_id LEFT JOIN items i ON i.d
 """
 
 
+def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_personal_data(table(spark, sf_dir, "documents"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -168,18 +174,37 @@ SELECT s.doc_id, s.n AS n_shingles, c.component_id, s.doc_id = c.component_id AS
 FROM sizes s JOIN (SELECT node, min(seen) AS component_id FROM reach GROUP BY node) c ON c.node = s.doc_id
 """
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes the archives and their index, then reads every record back through the index."""
+    return write_archives(table(spark, sf_dir, "pages")).read(payloads=False).drop("url", "payload")
+
+
+OP10_SQL = """
+WITH p AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest
+  FROM pages),
+g AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_id FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN first_id END AS refers_to
+FROM g
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sentencepiece": op2_sentencepiece,
     "op3_url_filter": op3_url_filter,
     "op4_decontaminate": op4_decontaminate,
+    "op5_personal_data": op5_personal_data,
     "op6_toxicity": op6_toxicity,
     "op7_quality": op7_quality,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_near_dedup": op9_near_dedup,
+    "op10_warc": op10_warc,
 }
 ORACLES: dict[str, str] = {
     "op3_url_filter": OP3_SQL,
     "op4_decontaminate": OP4_SQL,
     "op8_exact_dedup": OP8_SQL,
     "op9_near_dedup": OP9_SQL,
+    "op10_warc": OP10_SQL,
 }
