@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.llm.chat import format_transcripts, raw_transcripts
 from tidemark.llm.common import table
 from tidemark.llm.decontaminate import contamination
 from tidemark.llm.exact_dedup import exact_dedup
@@ -44,6 +45,12 @@ def listed_urls(spark: SparkSession) -> DataFrame:
     )
 
 
+def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation as a raw transcript, its roles recovered and its turns rendered."""
+    raw = raw_transcripts(table(spark, sf_dir, "conversations"))
+    return format_transcripts(raw, ["conv_id", "segment"])
+
+
 def op2_sentencepiece(spark: SparkSession, sf_dir: str, model_path: str = SENTENCEPIECE_MODEL) -> DataFrame:
     """Ids of every whole text, with a digest that a reader can recompute, round trip and parity."""
     found = encode_documents(table(spark, sf_dir, "documents"), model_path)
@@ -191,6 +198,7 @@ FROM g
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_chat_format": op1_chat_format,
     "op2_sentencepiece": op2_sentencepiece,
     "op3_url_filter": op3_url_filter,
     "op4_decontaminate": op4_decontaminate,
