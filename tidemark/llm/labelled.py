@@ -20,11 +20,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, folds: i
     """
     chosen = (
         labels.where(F.col(label_col).isNotNull() & (fold(F.col("doc_id"), folds) != held_out))
-        .groupBy(F.col("doc_id").cast("long").alias("__id"))
+        .groupBy(F.col("doc_id").cast("long").alias("doc_id"))
         .agg(F.max(F.col(label_col).cast("int")).alias("label"))
-        .orderBy(F.xxhash64("__id"), "__id")
+        .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(most_rows)
     )
-    return docs.join(F.broadcast(chosen), F.col(id_col) == F.col("__id")).select(
-        F.col("__id").alias("doc_id"), "label", F.coalesce(F.col(text_col), F.lit("")).alias("text")
-    )
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    return own.join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text")
