@@ -31,7 +31,7 @@ def sf_dir(spark, tmp_path_factory):
             text = " ".join(w.upper() + "!!" for w in text.split())
         docs.append((i, text))
         labels.append((i, int(i % 4 != 0), 0))
-    docs += [(1000 + k, docs[k][1].upper() if k % 8 == 1 else docs[k][1]) for k in range(1, 40, 4)]  # copies
+    docs += [(1000 + k, docs[k][1].capitalize() if k % 8 == 1 else docs[k][1]) for k in range(1, 40, 4)]  # copies
     docs += [(2000 + k, docs[k][1] + " tail") for k in range(2, 60, 4)]  # near copies
     items = [(i, prose(30)) for i in range(6)]
     docs += [(3000 + i, prose(20) + " " + t) for i, t in items] + [(4000, prose(400) + " " + items[0][1][:40]), (4001, None), (4002, "")]

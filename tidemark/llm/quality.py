@@ -107,8 +107,12 @@ def _grow(x: np.ndarray, g: np.ndarray, h: np.ndarray, cuts: list[np.ndarray], r
 
 
 def tree_rules(x: np.ndarray, y: np.ndarray, trees: int, depth: int, rate: float = 0.3) -> list[tuple]:
-    """The distinct paths of ``trees`` boosted trees, as tuples of (feature, above, cut)."""
-    cuts = [np.unique(np.quantile(x[:, f], np.linspace(0.01, 0.99, 64))) for f in range(x.shape[1])]
+    """The distinct paths of ``trees`` boosted trees, as tuples of (feature, above, cut).
+
+    Cuts lie midway between neighbouring quantiles, so a gap between classes is split evenly.
+    """
+    values = [np.unique(np.quantile(x[:, f], np.linspace(0, 1, 66))) for f in range(x.shape[1])]
+    cuts = [(v[:-1] + v[1:]) / 2 for v in values]
     z, paths = np.zeros(len(y)), []
     for _ in range(trees):
         p = _sigmoid(z)
