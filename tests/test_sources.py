@@ -48,16 +48,16 @@ def test_missing_feed(spark, tmp_path):
     with pytest.raises(MissingFeedError):
         read_feed(spark, str(tmp_path), FEED, 1)
     with pytest.raises(MissingFeedError):
-        source_profile(str(tmp_path), [FEED])
+        source_profile(spark, str(tmp_path), [FEED])
 
 
-def test_profile_counts_and_totals(tmp_path):
+def test_profile_counts_and_totals(spark, tmp_path):
     put(tmp_path, "customers.csv", "h\n" + ",".join("abcdefgh") + "\n" + "," * 7 + "\n")
     put(tmp_path, "policies.json", '{"policy_id": 1}\n\n{"cut\n')
     amounts = ["60.10", "40.10", "12;5", "nan"]
     rows = [f"c,p,d,d,{a},0,O,x,t" for a in amounts] + ["c,p,d,d,5.00,0,O,x,t,EXTRA"]
     put(tmp_path, "claims.csv", "h\n" + "\n".join(rows) + "\n")
-    found = source_profile(str(tmp_path / "batch_1"), [e.feed for e in ENTITIES])
+    found = source_profile(spark, str(tmp_path / "batch_1"), [e.feed for e in ENTITIES])
     assert found == {"rows": {"customers": 2, "policies": 2, "claims": 5}, "control_total": Decimal("100.20")}
 
 

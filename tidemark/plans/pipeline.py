@@ -141,7 +141,7 @@ def run_batch(spark: SparkSession, settings: Settings, batch: int) -> BatchResul
     store = TableStore(spark, settings.lakehouse_root)
     tx = store.begin(batch)
     checks = dq.parse_rules(store.files.read_text(settings.rules_path))
-    profile = source_profile(f"{settings.raw_root}/batch_{batch}", [e.feed for e in ENTITIES])
+    profile = source_profile(spark, f"{settings.raw_root}/batch_{batch}", [e.feed for e in ENTITIES])
     accounts = {e.feed.entity: Account(e.feed.entity, source=profile["rows"][e.feed.entity]) for e in ENTITIES}
     try:
         for entity in ENTITIES:  # in the order of their references
