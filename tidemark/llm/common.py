@@ -19,10 +19,8 @@ def shared_dir(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if found:
         return found.rstrip("/")
-    made = f"file://{tempfile.mkdtemp(prefix='tidemark-')}"
-    spark.sparkContext.setCheckpointDir(made)
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
+    spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='tidemark-')}")
+    return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
 def shared_path(spark: SparkSession, tag: str) -> str:
