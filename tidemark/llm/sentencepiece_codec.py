@@ -4,9 +4,10 @@ The model file is parsed here as a protobuf.  From it are rebuilt: the normalise
 (precompiled character map, extra spaces, dummy prefix, metaspace marker), the model
 (unigram scores, or the merges that a BPE model's scores imply), byte fallback, and the
 decoder.  Where no piece holds a marker after another character, no merge can cross a
-word's start; words are then split off first and each distinct word is encoded once; ids
-stay the same.  Every batch is encoded by several threads and decoded again, and the ids of
-every whole text are held against the reference implementation's.
+word's start; words are then split off first and each distinct word is encoded once, and
+held against the reference implementation's ids once; ids stay the same.  For other models
+whole texts are encoded and held against the reference's.  Every batch is encoded by several
+threads, and every whole text is decoded again.
 """
 
 from __future__ import annotations
@@ -14,11 +15,13 @@ from __future__ import annotations
 import os
 import re
 import struct
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
@@ -167,7 +170,7 @@ class Codec:
     """Encodes and decodes batches; ``reference_ids`` are the reference implementation's."""
 
     #: Characters of distinct words that are kept with their ids, at most.
-    MOST_HELD = 4_000_000
+    MOST_HELD = 10_000_000
 
     def __init__(self, data: bytes, threads: int = 2):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "true")
@@ -181,22 +184,42 @@ class Codec:
         self._words = build_tokenizer(self.model)
         self._words.normalizer = self._words.pre_tokenizer = None
         self._find = re.compile(WORD).findall
-        self._known: dict[str, list[int]] = {}
+        self._splits = splits_at_words(self.model)
+        self._known: dict[str, bytes] = {}
+        self._odd: set[str] = set()
         self._held = 0
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        if not splits_at_words(self.model):
-            return self.encode_whole(texts)
+        return [ids.tolist() for ids in self.encode_checked(texts)[0]]
+
+    def encode_checked(self, texts: list[str]) -> tuple[list[np.ndarray], list[bool]]:
+        """Ids, and whether the library gave the reference's ids; where not, these are returned."""
+        if not self._splits:
+            own, theirs = self.encode_whole(texts), self.reference_ids(texts)
+            return [np.array(x, np.int32) for x in theirs], [x == y for x, y in zip(own, theirs, strict=True)]
         cut = [self._find(self._normal(t)) for t in texts]
         distinct = set(chain.from_iterable(cut))
-        new = [w for w in distinct if w not in self._known]
+        new = list(distinct.difference(self._known))
         self._held += sum(map(len, new))
         if self._held > self.MOST_HELD:
-            self._known, new = {}, list(distinct)
+            self._known, self._odd, new = {}, set(), list(distinct)
             self._held = sum(map(len, new))
-        found = self._words.encode_batch_fast(new, add_special_tokens=False)
-        self._known.update((w, e.ids) for w, e in zip(new, found, strict=True))
-        return [list(chain.from_iterable(map(self._known.__getitem__, words))) for words in cut]
+        self._learn(new)
+        ids = [np.frombuffer(b"".join(map(self._known.__getitem__, words)), np.int32) for words in cut]
+        return ids, [self._odd.isdisjoint(words) for words in cut] if self._odd else [True] * len(cut)
+
+    def _learn(self, words: list[str]) -> None:
+        """Encodes words and compares them, each as the text that is normalised to it.
+
+        A lone marker is no text's normal form at a text's start; its piece is looked up.
+        """
+        own = [e.ids for e in self._words.encode_batch_fast(words, add_special_tokens=False)]
+        theirs = self.reference_ids([w.replace(MARK, " ")[self.model.add_dummy_prefix :] for w in words])
+        for i in [i for i, w in enumerate(words) if w == MARK]:
+            theirs[i] = [self.reference.piece_to_id(MARK)]
+        self._known.update((w, array("i", x).tobytes()) for w, x in zip(words, theirs, strict=True))
+        if own != theirs:
+            self._odd.update(w for w, x, y in zip(words, own, theirs, strict=True) if x != y)
 
     def encode_whole(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -249,9 +272,9 @@ def encode_documents(
 ) -> DataFrame:
     """One row per input row: doc_id, ids, n_tokens, round_trip, parity.
 
-    ``round_trip``: decoding the ids gives the normalised text back.  ``parity``: the ids are
-    the reference implementation's; where they are not (ties between merges of equal score),
-    the reference's ids are returned.  Null and empty texts have no ids and pass both.  The
+    ``round_trip``: decoding the ids gives the normalised text back.  ``parity``: the
+    library gave the reference implementation's ids; where it did not (ties between merges of
+    equal score), the reference's ids are returned.  Null and empty texts have no ids and pass both.  The
     model file is shipped with the job, so executors need not have ``model_path``.
     """
     spark = docs.sparkSession
@@ -263,15 +286,16 @@ def encode_documents(
         for batch in batches:
             at = 0
             for texts in _batches([x or "" for x in batch.column(1).to_pylist()], batch_chars):
-                own, theirs = codec.encode(texts), codec.reference_ids(texts)
-                back = codec.decode(theirs)
+                ids, same = codec.encode_checked(texts)
+                back = codec.decode([x.tolist() for x in ids])
+                ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(at, len(texts)),
-                        pa.array(theirs, pa.list_(pa.int32())),
-                        pa.array([len(x) for x in theirs], pa.int64()),
-                        pa.array([b == codec.normalised(t) for b, t in zip(back, texts, strict=True)]),
-                        pa.array([a == b for a, b in zip(own, theirs, strict=True)]),
+                        pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids))),
+                        pa.array(np.diff(ends).astype(np.int64)),
+                        pa.array([b == codec.normalised(t) for b, t in zip(back, texts, strict=True)], pa.bool_()),
+                        pa.array(same, pa.bool_()),
                     ],
                     names=["doc_id", "ids", "n_tokens", "round_trip", "parity"],
                 )
