@@ -3,7 +3,19 @@ import random
 
 import numpy as np
 
-from tidemark.llm.chat import FIRST, MOVES, STYLES, emissions, format_transcripts, parse_transcript, raw_transcripts, read_line, render, viterbi
+from tidemark.llm.chat import (
+    FIRST,
+    MOVES,
+    STYLES,
+    emissions,
+    format_conversations,
+    format_transcripts,
+    parse_transcript,
+    raw_transcripts,
+    read_line,
+    render,
+    viterbi,
+)
 
 
 def test_known_markers():
@@ -67,3 +79,51 @@ def test_nulls_segments_and_empty_tables(spark):
     assert len(raw) == 3 + 4
     assert format_transcripts(raw_transcripts(spark.createDataFrame([], schema)), ["conv_id", "segment"]).count() == 0
     assert len(STYLES) == 5
+
+
+CONV = "conv_id long, turn long, role string, text string"
+
+
+def _held_against_uncut(spark, rows, **options):
+    """format_conversations, its rows of each conversation joined and held against the uncut text."""
+    table = spark.createDataFrame(rows, CONV)
+    whole = {r.conv_id: parse_transcript(r.transcript) for r in raw_transcripts(table.selectExpr("conv_id", "turn + 9 turn", "role", "text"), segment_turns=10**9).collect()}
+    out = {}
+    for r in format_conversations(table, **options).orderBy("conv_id", "segment").collect():
+        assert r.n_turns == len(r.roles) == len(r.turns)
+        out.setdefault(r.conv_id, []).append(r)
+    for conv, parts in out.items():
+        assert [(role, t) for r in parts for role, t in zip(r.roles, r.turns)] == whole[conv], conv
+        assert "".join(r.rendered for r in parts) == render(whole[conv]), conv
+    assert out.keys() == whole.keys()
+    return out
+
+
+def test_long_conversations_of_names_are_decoded_as_wholes(spark):
+    convs = spark.range(200).selectExpr("id", "pmod(xxhash64(id), 5) = 4 as named").where("named").collect()
+    rows, truth = [], {}
+    for conv, n in zip([r.id for r in convs], (66, 70, 80, 100, 200)):
+        truth[conv] = ["system"] + ["user", "assistant"] * (n // 2 - 1) + ["user"]
+        rows += [(conv, t, r, "some words.") for t, r in enumerate(truth[conv])]
+    out = _held_against_uncut(spark, rows)
+    assert len(truth) == 5
+    for conv, roles in truth.items():
+        assert len(out[conv]) > 1 and [r for part in out[conv] for r in part.roles] == roles
+
+
+def test_any_segments_give_what_the_uncut_text_gives(spark):
+    rng = random.Random(6)
+    texts = ["", " ", "why?", "Bo: x", "one.\nNote: two", "\n\n", "System: z", None, "plain\nmore?", "User:"]
+    rows = [
+        (conv, t, rng.choice(["system", "user", "user", "assistant", None, "odd"]), rng.choice(texts))
+        for conv in range(60)
+        for t in range(-3, rng.randint(1, 25))
+    ]
+    rows += [(100, t, None, " \n") for t in range(20)] + [(101, t, None, f"{t}") for t in range(20)]
+    rows += [(102, t, None if t < 9 else "user", "\n") for t in range(20)]
+    for size in (1, 3, 8):
+        out = _held_against_uncut(spark, rows, segment_turns=size)
+        assert sum(r.n_turns for r in out[100]) == 0 and sum(r.n_turns for r in out[101]) == 1
+    table = spark.createDataFrame([(1, None, "user", "a"), (None, 3, "user", "b"), *((1, t, "user", str(t)) for t in range(9))], CONV)
+    found = format_conversations(table, segment_turns=4).collect()
+    assert sorted((r.conv_id or 0, r.segment is None, r.n_turns) for r in found) == [(0, True, 1), (1, False, 1), (1, False, 4), (1, False, 4), (1, True, 1)]

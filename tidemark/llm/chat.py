@@ -4,6 +4,12 @@ A state is a role together with whether the line opens a turn or goes on with on
 line shows a marker (a known speaker word, an unknown name, or none) and whether it asks a
 question.  Viterbi gives the most likely states of all lines together, so a missing or
 unfamiliar marker is read from the turns around it.  Turns are then rendered in one form.
+
+Long conversations are read in segments and decoded as wholes: every segment gives the best
+score between each pair of its first and last states, one stream a conversation carries the
+scores forward over these, another the best states back, and each segment is then decoded
+between the scores before it and its last state.  Log-probabilities are multiples of 2**-20,
+so sums are exact in any order and the states, ties included, are those of the uncut text.
 """
 
 from __future__ import annotations
@@ -15,6 +21,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+
+from tidemark.llm.common import stash
 
 ROLES = ("system", "user", "assistant")
 
@@ -45,6 +54,11 @@ _FIRST = np.array([0.3, 0.65, 0.05])
 _GOES_ON = 0.6
 
 
+def _log(p: np.ndarray) -> np.ndarray:
+    with np.errstate(divide="ignore"):
+        return np.round(np.log(p) * 2**20) / 2**20
+
+
 def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Log first, log moves, log markers; states 0..2 open a turn of a role, 3..5 go on with it."""
     move = np.zeros((6, 6))
@@ -55,11 +69,11 @@ def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     first = np.concatenate([_FIRST, np.zeros(3)])
     marker = np.vstack([_MARKER_OPEN, _MARKER_ON])
     marker = marker / marker.sum(axis=1, keepdims=True)
-    with np.errstate(divide="ignore"):
-        return np.log(first), np.log(move), np.log(marker)
+    return _log(first), _log(move), _log(marker)
 
 
 FIRST, MOVES, MARKERS = _tables()
+_ASK, _ASK_NOT = np.tile(_log(_ASKS), 2), np.tile(_log(1 - _ASKS), 2)
 
 
 def read_line(line: str) -> tuple[int, int, bool]:
@@ -77,34 +91,65 @@ def emissions(lines: list[tuple[int, int, bool]]) -> np.ndarray:
     """Log-likelihood of each line in each state."""
     marker = MARKERS[:, [m for m, _, _ in lines]].T
     ask = np.array([a for _, _, a in lines])[:, None]
-    return marker + np.tile(np.log(np.where(ask, _ASKS, 1 - _ASKS)), 2)
+    return marker + np.where(ask, _ASK, _ASK_NOT)
 
 
-def viterbi(e: np.ndarray) -> np.ndarray:
-    """The most likely states of a sequence of emissions."""
-    score, back = FIRST + e[0], []
-    for row in e[1:]:
+def _forward(e: np.ndarray, before: np.ndarray | None = None) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The last line's scores, and for each line the best state before each of its own.
+
+    ``before`` are the scores of a line before the first; without them a conversation begins.
+    """
+    if before is None:
+        score, back, rest = FIRST + e[0], [], e[1:]
+    else:
+        score, back, rest = before, [], e
+    for row in rest:
         both = score[:, None] + MOVES
         back.append(both.argmax(axis=0))
         score = both.max(axis=0) + row
-    path = [int(score.argmax())]
+    return score, back
+
+
+def _back(back: list[np.ndarray], last: int) -> np.ndarray:
+    path = [last]
     for b in reversed(back):
         path.append(int(b[path[-1]]))
     return np.array(path[::-1])
 
 
+def viterbi(e: np.ndarray) -> np.ndarray:
+    """The most likely states of a sequence of emissions."""
+    score, back = _forward(e)
+    return _back(back, int(score.argmax()))
+
+
+def _between(e: np.ndarray) -> np.ndarray:
+    """The best score of a sequence by its first and its last state."""
+    score = np.where(np.eye(6, dtype=bool), e[0], -np.inf)
+    for row in e[1:]:
+        score = (score[:, :, None] + MOVES).max(axis=1) + row
+    return score
+
+
 def parse_transcript(text: str | None) -> list[tuple[str, str]]:
     """The turns (role, text) of a transcript.  Blank transcripts have none."""
     lines = (text or "").split("\n")
     if not any(line.strip() for line in lines):
         return []
     read = [read_line(line) for line in lines]
+    return _turns(lines, read, viterbi(emissions(read)))
+
+
+def _turns(lines: list[str], read: list[tuple[int, int, bool]], states: np.ndarray, tail: str | None = None) -> list[tuple[str, str]]:
+    """The turns of lines, the first of which opens one; ``tail`` goes on with the last."""
     turns: list[tuple[str, list[str]]] = []
-    for line, (_, cut, _), state in zip(lines, read, viterbi(emissions(read)), strict=True):
+    for line, (_, cut, _), state in zip(lines, read, states, strict=True):
         if state < 3:
             turns.append((ROLES[state], [line[cut:]]))
         else:
             turns[-1][1].append(line)
+    if tail is not None:
+        turns[-1][1].append(tail)
     return [(role, "\n".join(own).strip()) for role, own in turns]
 
 
@@ -121,21 +166,30 @@ def format_transcripts(transcripts: DataFrame, id_cols: list[str], text_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parsed = [parse_transcript(t) for t in batch.column(len(id_cols)).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    *(batch.column(i) for i in range(len(id_cols))),
-                    pa.array([len(p) for p in parsed], pa.int64()),
-                    pa.array([[r for r, _ in p] for p in parsed], pa.list_(pa.string())),
-                    pa.array([[t for _, t in p] for p in parsed], pa.list_(pa.string())),
-                    pa.array([render(p) for p in parsed], pa.string()),
-                ],
-                names=[*id_cols, "n_turns", "roles", "turns", "rendered"],
-            )
+            yield _formatted(batch, id_cols, [parse_transcript(t) for t in batch.column(len(id_cols)).to_pylist()])
 
     own = transcripts.select(*id_cols, text_col)
-    ids = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema.fields[:-1])
-    return own.mapInArrow(run, f"{ids}, n_turns long, roles array<string>, turns array<string>, rendered string")
+    return own.mapInArrow(run, f"{_declared(own, id_cols)}, {_FORMATTED}")
+
+
+_FORMATTED = "n_turns long, roles array<string>, turns array<string>, rendered string"
+
+
+def _declared(df: DataFrame, cols: list[str]) -> str:
+    return ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in cols)
+
+
+def _formatted(batch: pa.RecordBatch, id_cols: list[str], parsed: list[list[tuple[str, str]]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [
+            *(batch.column(i) for i in range(len(id_cols))),
+            pa.array([len(p) for p in parsed], pa.int64()),
+            pa.array([[r for r, _ in p] for p in parsed], pa.list_(pa.string())),
+            pa.array([[t for _, t in p] for p in parsed], pa.list_(pa.string())),
+            pa.array([render(p) for p in parsed], pa.string()),
+        ],
+        names=[*id_cols, "n_turns", "roles", "turns", "rendered"],
+    )
 
 
 #: Marker styles of raw transcripts: what precedes a turn of each role.  The last has names only.
@@ -176,3 +230,178 @@ def raw_transcripts(turns: DataFrame, *, segment_turns: int = 64) -> DataFrame:
         .select("conv_id", "segment", F.array_join("t.raw", "\n").alias("transcript"))
     )
     return whole.unionByName(rows.where("segment is null").select("conv_id", "segment", F.col("raw").alias("transcript")))
+
+
+_KEYS = ["conv_id", "segment"]
+
+
+def _kept(batch: pa.RecordBatch, **columns: pa.Array) -> pa.RecordBatch:
+    """The keys of a batch beside new columns."""
+    return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns.values()], names=[*_KEYS, *columns])
+
+
+def _packed(lines: list[tuple[int, int, bool]]) -> bytes:
+    return bytes(m + 8 * a for m, _, a in lines)
+
+
+def _unpacked(codes: bytes) -> np.ndarray:
+    return emissions([(c & 7, 0, c >= 8) for c in codes])
+
+
+def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each segment: its lines as one byte each, best scores between its ends, whether it is blank."""
+    for batch in batches:
+        texts = batch.column(2).to_pylist()
+        codes = [_packed([read_line(line) for line in t.split("\n")]) for t in texts]
+        yield _kept(
+            batch,
+            codes=pa.array(codes, pa.binary()),
+            between=pa.array([_between(_unpacked(c)).ravel() for c in codes], pa.list_(pa.float64())),
+            blank=pa.array([not t.strip() for t in texts], pa.bool_()),
+        )
+
+
+def _carry_forward(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Segments in order: the scores before each (null at a conversation's start), and its best last state."""
+    conv, score = None, None
+    for batch in batches:
+        before, last = [], []
+        for own, between in zip(batch.column(0).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            if own != conv:
+                conv, score = own, None
+            before.append(score)
+            entry = FIRST if score is None else (score[:, None] + MOVES).max(axis=0)
+            score = (entry[:, None] + np.array(between).reshape(6, 6)).max(axis=0)
+            last.append(int(score.argmax()))
+            score = score - score.max()
+        yield _kept(
+            batch,
+            codes=batch.column(2),
+            blank=batch.column(4),
+            before=pa.array(before, pa.list_(pa.float64())),
+            last=pa.array(last, pa.int32()),
+        )
+
+
+def _exits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each last state of a segment: the state before the segment and how many lines go on from there."""
+    for batch in batches:
+        entries, leads, lines = [], [], []
+        for codes, before in zip(batch.column(2).to_pylist(), batch.column(4).to_pylist(), strict=True):
+            _, back = _forward(_unpacked(codes), None if before is None else np.array(before))
+            paths = [_back(back, s) for s in range(6)]
+            own = paths if before is None else [p[1:] for p in paths]
+            entries.append([int(p[0]) for p in paths])
+            leads.append([0 if before is None else int(np.append(p < 3, True).argmax()) for p in own])
+            lines.append(len(codes))
+        yield _kept(
+            batch,
+            blank=batch.column(3),
+            before=batch.column(4),
+            last=batch.column(5),
+            entries=pa.array(entries, pa.list_(pa.int32())),
+            leads=pa.array(leads, pa.list_(pa.int32())),
+            lines=pa.array(lines, pa.int64()),
+        )
+
+
+def _carry_back(types: list[pa.DataType]):
+    """Segments in reverse order: each one's last state, and the segment whose last turn its first lines go on with."""
+    names = [*_KEYS, "before", "last", "lead", "owner", "blank"]
+    types = [*types, pa.list_(pa.float64()), pa.int32(), pa.int32(), types[1], pa.bool_()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        conv, state, blank, waiting = None, None, True, []
+        for batch in batches:
+            out = []
+            for own, segment, empty, before, last, entries, leads, lines in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if own != conv:
+                    conv, state, blank = own, last, True
+                blank = blank and empty
+                lead = leads[state]
+                if lead < lines:  # a turn opens here
+                    out += [(*row, segment, False) for row in waiting]
+                    waiting.clear()
+                row = (own, segment, before, state, lead)
+                if lead:
+                    waiting.append(row)
+                else:
+                    out.append((*row, None, blank and before is None))
+                state = entries[state]
+            if out:
+                columns = zip(*out, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
+
+    return run
+
+
+def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        parsed = []
+        for text, before, last, lead, blank, tail in zip(*(c.to_pylist() for c in batch.columns[2:]), strict=True):
+            lines = text.split("\n")
+            read = [read_line(line) for line in lines]
+            if blank or lead == len(lines):
+                parsed.append([])
+                continue
+            _, back = _forward(emissions(read), None if before is None else np.array(before))
+            states = _back(back, last)[-len(lines) :]
+            parsed.append(_turns(lines[lead:], read[lead:], states[lead:], tail))
+        yield _formatted(batch, _KEYS, parsed)
+
+
+def format_conversations(turns: DataFrame, *, segment_turns: int = 64) -> DataFrame:
+    """Rows of :func:`raw_transcripts` as by :func:`format_transcripts`, conversations decoded as wholes.
+
+    One row per conversation and segment: conv_id, segment, n_turns, roles, turns, rendered.
+    In the order of segments these make what the whole conversation gives as one transcript.
+    A turn is in the segment where it opens; lines of later segments that go on with it
+    move there.  Only conversations of several segments take more than the one pass.
+    """
+    raw = raw_transcripts(turns, segment_turns=segment_turns)
+    ends = turns.where("conv_id is not null").groupBy("conv_id").agg(F.min("turn").alias("lo"), F.max("turn").alias("hi"))
+    several = F.floor(F.col("lo") / segment_turns) < F.floor(F.col("hi") / segment_turns)
+    long = stash(ends.where(several).select("conv_id", F.lit(True).alias("long")), "long")
+    if long.isEmpty():
+        return format_transcripts(raw, _KEYS)
+    tagged = stash(raw.join(long, "conv_id", "left"), "segments")
+    whole = tagged.where("long and segment is not null").drop("long")
+    keys = _declared(whole, _KEYS)
+    scanned = whole.select(*_KEYS, "transcript").mapInArrow(
+        _scan, f"{keys}, codes binary, between array<double>, blank boolean"
+    )
+    carried = scanned.repartition("conv_id").sortWithinPartitions(*_KEYS).mapInArrow(
+        _carry_forward, f"{keys}, codes binary, blank boolean, before array<double>, last int"
+    )
+    exits = carried.repartition(*_KEYS).mapInArrow(
+        _exits, f"{keys}, blank boolean, before array<double>, last int, entries array<int>, leads array<int>, lines long"
+    )
+    segment = whole.schema["segment"].dataType.simpleString()
+    found = stash(
+        exits.repartition("conv_id")
+        .sortWithinPartitions("conv_id", F.desc("segment"))
+        .mapInArrow(
+            _carry_back([to_arrow_type(whole.schema[c].dataType) for c in _KEYS]),
+            f"{keys}, before array<double>, last int, lead int, owner {segment}, blank boolean",
+        ),
+        "states",
+    )
+    leads = (
+        whole.join(found.where("owner is not null"), _KEYS)
+        .select(
+            "conv_id",
+            F.col("owner").alias("segment"),
+            F.struct("segment", F.array_join(F.slice(F.split("transcript", "\n"), 1, F.col("lead")), "\n").alias("text")).alias("part"),
+        )
+        .groupBy(*_KEYS)
+        .agg(F.sort_array(F.collect_list("part")).alias("parts"))
+        .select(*_KEYS, F.array_join("parts.text", "\n").alias("tail"))
+    )
+    decoded = (
+        whole.join(found, _KEYS)
+        .join(leads, _KEYS, "left")
+        .select(*_KEYS, "transcript", "before", "last", "lead", "blank", "tail")
+        .mapInArrow(_decode, f"{keys}, {_FORMATTED}")
+    )
+    alone = tagged.where("long is null or segment is null")
+    return format_transcripts(alone, _KEYS).unionByName(decoded)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.chat import format_transcripts, raw_transcripts
+from tidemark.llm.chat import format_conversations
 from tidemark.llm.common import table
 from tidemark.llm.decontaminate import contamination
 from tidemark.llm.exact_dedup import exact_dedup
@@ -47,8 +47,7 @@ def listed_urls(spark: SparkSession) -> DataFrame:
 
 def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation as a raw transcript, its roles recovered and its turns rendered."""
-    raw = raw_transcripts(table(spark, sf_dir, "conversations"))
-    return format_transcripts(raw, ["conv_id", "segment"])
+    return format_conversations(table(spark, sf_dir, "conversations"))
 
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str, model_path: str = SENTENCEPIECE_MODEL) -> DataFrame:
