@@ -90,3 +90,25 @@ def test_extra_spaces_are_removed_where_the_model_says_so():
     ref, tokenizer = sentencepiece.SentencePieceProcessor(model_proto=data), build_tokenizer(parse_model(data))
     for text in ["  a   b ", "a b", "ab"]:
         assert tokenizer.encode(text, add_special_tokens=False).ids == ref.encode(text)
+
+
+SPACED = [("<unk>", 0.0, 2), ("▁", -9.0, 1), *((c, -9.0, 1) for c in "abfor"), ("fo", -1.0, 1), ("foo", -2.0, 1), ("▁foo", -3.0, 1), ("ba", -4.0, 1), ("bar", -5.0, 1)]
+
+
+def test_whole_texts_are_held_against_the_reference():
+    for prefix, extra in ((0, 1), (0, 0), (1, 0), (1, 1)):
+        data = proto(SPACED, BPE, prefix=prefix, extra=extra)
+        codec, ref = Codec(data), sentencepiece.SentencePieceProcessor(model_proto=data)
+        texts = ["bar foo foo", "foo", "", "  bar   foo ", "foobar"]
+        ids, same = codec.encode_checked(texts)
+        assert [x.tolist() for x in ids] == [ref.encode(t) for t in texts] and all(same), (prefix, extra)
+        assert codec.decode([x.tolist() for x in ids]) == [codec.normalised(t) for t in texts], (prefix, extra)
+
+
+def test_a_wrong_normaliser_or_split_shows_in_parity(codec):
+    texts = ["Hello, world!", "hello", ""]
+    for name, wrong in (("_normal", lambda t: "▁" * bool(t) + t.lower().replace(" ", "▁")), ("_find", lambda t: list(t))):
+        broken = Codec(Path(SENTENCEPIECE_MODEL).read_bytes())
+        setattr(broken, name, wrong)
+        ids, same = broken.encode_checked(texts)
+        assert not same[0] and same[2] and [x.tolist() for x in ids] == codec.reference_ids(texts)

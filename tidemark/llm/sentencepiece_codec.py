@@ -4,10 +4,9 @@ The model file is parsed here as a protobuf.  From it are rebuilt: the normalise
 (precompiled character map, extra spaces, dummy prefix, metaspace marker), the model
 (unigram scores, or the merges that a BPE model's scores imply), byte fallback, and the
 decoder.  Where no piece holds a marker after another character, no merge can cross a
-word's start; words are then split off first and each distinct word is encoded once, and
-held against the reference implementation's ids once; ids stay the same.  For other models
-whole texts are encoded and held against the reference's.  Every batch is encoded by several
-threads, and every whole text is decoded again.
+word's start; words are then split off first and each distinct word is encoded once; ids
+stay the same.  Every batch is encoded by several threads and decoded again, and the ids of
+every whole text are held against the reference implementation's.
 """
 
 from __future__ import annotations
@@ -186,40 +185,29 @@ class Codec:
         self._find = re.compile(WORD).findall
         self._splits = splits_at_words(self.model)
         self._known: dict[str, bytes] = {}
-        self._odd: set[str] = set()
         self._held = 0
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         return [ids.tolist() for ids in self.encode_checked(texts)[0]]
 
     def encode_checked(self, texts: list[str]) -> tuple[list[np.ndarray], list[bool]]:
-        """Ids, and whether the library gave the reference's ids; where not, these are returned."""
-        if not self._splits:
-            own, theirs = self.encode_whole(texts), self.reference_ids(texts)
-            return [np.array(x, np.int32) for x in theirs], [x == y for x, y in zip(own, theirs, strict=True)]
+        """Ids of whole texts, and whether they are the reference's; where not, the reference's are returned."""
+        own = self._by_words(texts) if self._splits else [np.array(x, np.int32) for x in self.encode_whole(texts)]
+        theirs = [np.array(x, np.int32) for x in self.reference_ids(texts)]
+        same = [np.array_equal(x, y) for x, y in zip(own, theirs, strict=True)]
+        return [x if ok else y for x, y, ok in zip(own, theirs, same, strict=True)], same
+
+    def _by_words(self, texts: list[str]) -> list[np.ndarray]:
         cut = [self._find(self._normal(t)) for t in texts]
         distinct = set(chain.from_iterable(cut))
         new = list(distinct.difference(self._known))
         self._held += sum(map(len, new))
         if self._held > self.MOST_HELD:
-            self._known, self._odd, new = {}, set(), list(distinct)
+            self._known, new = {}, list(distinct)
             self._held = sum(map(len, new))
-        self._learn(new)
-        ids = [np.frombuffer(b"".join(map(self._known.__getitem__, words)), np.int32) for words in cut]
-        return ids, [self._odd.isdisjoint(words) for words in cut] if self._odd else [True] * len(cut)
-
-    def _learn(self, words: list[str]) -> None:
-        """Encodes words and compares them, each as the text that is normalised to it.
-
-        A lone marker is no text's normal form at a text's start; its piece is looked up.
-        """
-        own = [e.ids for e in self._words.encode_batch_fast(words, add_special_tokens=False)]
-        theirs = self.reference_ids([w.replace(MARK, " ")[self.model.add_dummy_prefix :] for w in words])
-        for i in [i for i, w in enumerate(words) if w == MARK]:
-            theirs[i] = [self.reference.piece_to_id(MARK)]
-        self._known.update((w, array("i", x).tobytes()) for w, x in zip(words, theirs, strict=True))
-        if own != theirs:
-            self._odd.update(w for w, x, y in zip(words, own, theirs, strict=True) if x != y)
+        found = self._words.encode_batch_fast(new, add_special_tokens=False)
+        self._known.update((w, array("i", e.ids).tobytes()) for w, e in zip(new, found, strict=True))
+        return [np.frombuffer(b"".join(map(self._known.__getitem__, words)), np.int32) for words in cut]
 
     def encode_whole(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -239,7 +227,7 @@ class Codec:
         """What decoding gives back: the normalised text without marker and dummy prefix."""
         if not self.model.charsmap and not self.model.remove_extra_whitespaces:
             return text.replace(MARK, " ")
-        out = self.tokenizer.normalizer.normalize_str(text).replace(MARK, " ")
+        out = self.reference.normalize(text).replace(MARK, " ")
         return out[1:] if self.model.add_dummy_prefix else out
 
 
@@ -272,9 +260,9 @@ def encode_documents(
 ) -> DataFrame:
     """One row per input row: doc_id, ids, n_tokens, round_trip, parity.
 
-    ``round_trip``: decoding the ids gives the normalised text back.  ``parity``: the
-    library gave the reference implementation's ids; where it did not (ties between merges of
-    equal score), the reference's ids are returned.  Null and empty texts have no ids and pass both.  The
+    ``round_trip``: decoding the ids gives the normalised text back.  ``parity``: the library
+    gave the reference implementation's ids of the whole text; where it did not (ties between
+    merges of equal score), the reference's ids are returned.  Null and empty texts have no ids and pass both.  The
     model file is shipped with the job, so executors need not have ``model_path``.
     """
     spark = docs.sparkSession
