@@ -88,3 +88,22 @@ def test_a_damaged_record_is_refused():
 def test_keys(spark):
     one = lambda u: spark.range(1).select(url_key(F.lit(u)).alias("x")).first().x
     assert one("http://WWW.Example.com/a?b#c") == "com,example,www)/a?b" and one(None) == ""
+
+
+def test_lookup_searches_sorted_directories_and_scans_no_table(spark):
+    ends = ["", "!", "\t", "$", "%", "&", "\n", "A", "é", "\r!", "%!", "/\t", "/!"]
+    rows = [(i, f"http://h.org/{i % 4}{end}", f"{i} " * 60) for i, end in enumerate(ends * 16)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        index = write_archives(pages(spark, rows), block_entries=3)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    want = {}
+    for i, url, _ in rows:
+        want.setdefault(url, []).append(i)
+    assert list(index.lookup("http://h.org/nothing")) == []
+    assert len(index._files) > 1
+    index.directory = None
+    for url, ids in want.items():
+        assert [r["page_id"] for r in index.lookup(url)] == ids, url
+    assert list(index.lookup("http://a.org/")) == list(index.lookup("http://z.org/")) == []

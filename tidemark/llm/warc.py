@@ -3,8 +3,10 @@
 Pages are written as gzip members, one record each, into archive files in the shared
 folder.  Payloads that occur again are written as ``revisit`` records that point at the
 ``response``.  The index sorts entries by reversed-host URL key into compressed blocks; a
-sparse directory holds one row a block.  A lookup binary-searches the directory, reads one
-block by range, binary-searches the block and reads one record by range.
+sparse directory holds one row a block; each index file's part of it is written beside the
+file.  A lookup binary-searches the key ranges of the index files (held by the driver, one a
+file), then the directory of a file, reads one block by range, binary-searches the block and
+reads one record by range.
 
 Files are opened through ``pyarrow.fs``, so the folder may be in any store it can reach.
 Every attempt of a task writes files of its own and returns their names, so a lost
@@ -19,6 +21,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -44,6 +47,14 @@ def url_key(url: Column) -> Column:
     return F.when(url.isNull(), F.lit("")).otherwise(F.concat(host, F.lit(")"), rest))
 
 
+def _index_key(url: Column) -> Column:
+    """The key as it is sorted and stored: without tabs and line ends."""
+    key = url_key(url)
+    for c in "%\t\n\r":
+        key = F.replace(key, F.lit(c), F.lit(f"%{ord(c):02X}"))
+    return key
+
+
 def _record_id(page_id: int | None, digest: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(_NAMES, f'{page_id}/{digest}')}>"
 
@@ -170,13 +181,16 @@ def _block_writer(folder: str, block_entries: int):
 
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                rows.append((_key_safe(row[0]), *row[1:]))
+                rows.append(row)
                 if len(rows) >= block_entries:
                     flush()
         if rows:
             flush()
         if out is not None:
             out.close()
+            own = "\n".join(f"{first}\t{last}\t{offset}\t{length}" for first, last, _, offset, length, _ in blocks)
+            with fs.open_output_stream(f"{base}/{name}.dir", compression=None) as listed:
+                listed.write(zlib.compress(own.encode(), 6))
             types = (pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [pa.array(v, t) for v, t in zip(zip(*blocks, strict=True), types, strict=True)],
@@ -186,10 +200,6 @@ def _block_writer(folder: str, block_entries: int):
     return run
 
 
-def _key_safe(key: str) -> str:
-    return key.replace("%", "%25").replace("\t", "%09").replace("\n", "%0A").replace("\r", "%0D")
-
-
 def _entries(data: bytes) -> Iterator[tuple[str, int | None, str, int, int]]:
     for line in zlib.decompress(data).decode().split("\n"):
         key, page_id, file, offset, length = line.split("\t")
@@ -214,6 +224,19 @@ class _Ranges:
         return self.held[at : at + length]
 
 
+def _spanning(rows: list[tuple], key: str) -> Iterator[tuple]:
+    """The rows (first, last, ...) whose range holds the key; ranges are in order and share ends at most."""
+    at = bisect.bisect_left(rows, key, key=lambda r: r[1])
+    while at < len(rows) and rows[at][0] <= key:
+        yield rows[at]
+        at += 1
+
+
+def _directory(ranges: _Ranges, name: str) -> list[tuple]:
+    with ranges.fs.open_input_stream(f"{ranges.base}/{name}.dir", compression=None) as f:
+        return [tuple(line.split("\t")) for line in zlib.decompress(f.read()).decode().split("\n")]
+
+
 def _block_reader(folder: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranges = _Ranges(folder)
@@ -266,20 +289,24 @@ class CaptureIndex:
         ordered = placed.repartition("file", F.floor(F.col("offset") / (8 << 20))).sortWithinPartitions("file", "offset")
         return ordered.mapInArrow(_record_reader(f"{self.folder}/warc", payloads), _RECORD)
 
+    @cached_property
+    def _files(self) -> list[tuple[str, str, str]]:
+        """(first, last, file) of every index file in order: a row for each task that wrote one."""
+        ends = self.directory.groupBy("file").agg(F.min("first").alias("first"), F.max("last").alias("last"))
+        return sorted(tuple(r) for r in ends.select("first", "last", "file").collect())
+
     def lookup(self, url: str) -> Iterator[dict]:
         """The captures of one URL, in the order of their ids."""
-        key = _key_safe(
-            self.spark.range(1).select(url_key(F.lit(url)).alias("k")).first().k
-        )
-        spanning = self.directory.where((F.col("first") <= key) & (F.col("last") >= key)).orderBy("first", "last")
+        key = self.spark.range(1).select(_index_key(F.lit(url)).alias("k")).first().k
         blocks, records = _Ranges(f"{self.folder}/index", 0), _Ranges(f"{self.folder}/warc", 0)
-        for block in spanning.toLocalIterator():
-            rows = list(_entries(blocks.read(block.file, block.offset, block.length)))
-            at = bisect.bisect_left(rows, key, key=lambda r: r[0])
-            while at < len(rows) and rows[at][0] == key:
-                _, _, file, offset, length = rows[at]
-                yield parse_record(zlib.decompress(records.read(file, offset, length), 31))
-                at += 1
+        for _, _, name in _spanning(self._files, key):
+            for _, _, offset, length in _spanning(_directory(blocks, name), key):
+                rows = list(_entries(blocks.read(name, int(offset), int(length))))
+                at = bisect.bisect_left(rows, key, key=lambda r: r[0])
+                while at < len(rows) and rows[at][0] == key:
+                    _, _, file, start, size = rows[at]
+                    yield parse_record(zlib.decompress(records.read(file, start, size), 31))
+                    at += 1
 
 
 def write_archives(
@@ -328,7 +355,7 @@ def write_archives(
     )
     few = revisits.count() <= max_broadcast_rows
     records = full.join(F.broadcast(revisits) if few else revisits, ["page_id", "digest"], "left").select(
-        url_key(F.col("url")).alias("key"), "page_id", "url", "digest", "refers_to", "html"
+        _index_key(F.col("url")).alias("key"), "page_id", "url", "digest", "refers_to", "html"
     )
     entries = stash(records.mapInArrow(_archive_writer(f"{folder}/warc", date, file_bytes), _ENTRY), "entries")
     directory = stash(
