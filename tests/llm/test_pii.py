@@ -108,3 +108,18 @@ def test_plain_prose_is_left_alone(documents):
     prose = " ".join(rng.choice(["the", "And", "SSch", "at", "dot", "token", "key", "call", "heit,", "WAS!!", "ing***", "1999", "|"]) for _ in range(3000))
     (r,) = find_personal_data(documents([(1, prose)])).collect()
     assert r.spans.count("secret") == 0 and r.spans.count("local_phone") == 0
+
+
+def test_long_words_keep_their_features(documents):
+    rng = random.Random(8)
+    key = lambda n: "".join(rng.choice("abcdef") + rng.choice("0123456789") for _ in range(n // 2))
+    crf, classes = trained(), Classes()
+    short, long, longest = classes.ids(["1a" + key(30), "1a" + key(398), "1a" + key(100_000)])
+    assert short == long == longest
+    text = f'token = "1a{key(600)}" end'
+    (r,) = find_personal_data(documents([(1, text)])).collect()
+    kind, start, end = r.spans.split(":")
+    assert kind == "secret" and text[int(start) : int(end)] == text.split('"')[1]
+    before = len(classes._of_word)
+    classes.ids(["x1" * 10_000, "1-" * 10_000 + "1"])
+    assert len(classes._of_word) == before and np.isfinite(crf.potentials(classes)).all()

@@ -57,9 +57,10 @@ def word_features(word: str) -> tuple[str, ...]:
 
 
 class Classes:
-    """Words to classes of equal features; remembers a bounded number of words."""
+    """Words to classes of equal features; remembers a bounded number of words of bounded length."""
 
     MOST_WORDS = 300_000
+    LONGEST_HELD = 256
 
     def __init__(self) -> None:
         self.of_features: dict[tuple[str, ...], int] = {(): 0}  # 0: beyond either end
@@ -73,8 +74,9 @@ class Classes:
         for i, word in enumerate(words):
             at = known.get(word)
             if at is None:
-                f = word_features(word) if len(word) <= 256 else ("long",)
-                at = known[word] = self.of_features.setdefault(f, len(self.of_features))
+                at = self.of_features.setdefault(word_features(word), len(self.of_features))
+                if len(word) <= self.LONGEST_HELD:
+                    known[word] = at
             out[i] = at
         return out
 
