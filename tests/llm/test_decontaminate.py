@@ -78,3 +78,14 @@ def test_words_follow_the_pattern():
     for _ in range(500):
         t = "".join(chr(rng.choice([rng.randint(0, 127), 0xE9, 0x4E2D, 0x1F600])) for _ in range(30))
         assert [w.decode() for w in words_of(t.encode())] == words(t)
+
+
+def test_rows_are_dropped_by_their_own_texts(spark, documents):
+    leak = " ".join(f"leak{i}" for i in range(20))
+    rows = [(1, leak), (1, "clean one"), (None, leak), (None, "clean two"), (2, None), (3, leak.upper())]
+    items = spark.createDataFrame([(7, leak), (8, "other words " * 9)], "item_id long, text string")
+    docs = documents(rows)
+    for options in ({}, {"block_words": 5}):
+        kept = drop_contaminated(docs, items, **options)
+        assert kept.columns == docs.columns
+        assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([rows[1], rows[3], rows[4]], key=str)

@@ -114,3 +114,15 @@ def test_sketch_merges_estimates_and_loses_no_pair():
             z = sk.registers(np.concatenate([u[: len(u) // 3], rng.integers(0, 1 << 64, len(u) - len(u) // 3, dtype=np.uint64)]))
             wrong += sk.may_reach(r[:1], z[None], size, size, 0.8)[0]
         assert hits == admitted == 60 and wrong == 0
+
+
+def test_texts_of_one_id_are_judged_apart(documents):
+    rng = random.Random(4)
+    prose = lambda: [f"w{rng.randrange(10**6)}" for _ in range(80)]
+    a, b, c, d = prose(), prose(), prose(), prose()
+    near = lambda words: " ".join(words[:-1] + ["last"])
+    rows = [(1, " ".join(a)), (2, near(a)), (2, " ".join(b)), (3, near(b)), (4, " ".join(c)), (4, " ".join(d)), (5, near(d)), (6, near(c))]
+    out = near_dedup(documents(rows)).collect()
+    assert sorted((r.doc_id, r.component_id) for r in out) == [(1, 1), (2, 1), (2, 2), (3, 2), (4, 4), (4, 4), (5, 4), (6, 4)]
+    kept = {(r.doc_id, r.text) for r in keep_one_of_each(documents(rows)).collect()}
+    assert kept == {rows[0], rows[2], rows[4], rows[5]}

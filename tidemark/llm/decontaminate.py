@@ -153,13 +153,14 @@ def find_contamination(
     """
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     items = benchmark.select(F.col(item_col).cast("string").alias("item_id"), F.col(item_text_col).alias("text"))
-    schema = "uid long, n_words long, spans array<array<bigint>>, items array<string>"
+    rest = "n_words long, spans array<array<bigint>>, items array<string>"
 
     def scan(source: DataFrame, block: list[tuple]) -> DataFrame:
         shingles = _shingles(block, window)
         vocabulary = frozenset(w for s in shingles for w in s)
         index = _index(shingles, _rarity(own, vocabulary) if vocabulary else {})
-        return source.mapInArrow(_spans(index), schema)
+        uid = source.schema[0].dataType.simpleString()
+        return source.mapInArrow(_spans(index), f"uid {uid}, {rest}")
 
     blocks = _blocks(items, block_words)
     first, second = next(blocks), next(blocks, None)
@@ -211,13 +212,15 @@ def contamination(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` without contaminated documents; all columns as they were.
 
-    An id of contaminated text goes with all its rows; a row without an id is judged like
-    any other only through :func:`contamination` and stays here.
+    A text is judged by itself, so rows go by their texts' digests: rows that share an id but
+    not a text are told apart, and a row without an id goes like any other.
     """
+    digest = F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)
+    keyed = docs.select(digest.alias("__key"), F.col(text_col).alias("__text"))
     bad = (
-        contamination(docs, benchmark, id_col=id_col, text_col=text_col, **options)
+        contamination(keyed, benchmark, id_col="__key", text_col="__text", **options)
         .where("contaminated")
-        .select(F.col("doc_id").alias("__id"))
+        .select(F.col("doc_id").alias("__bad"))
         .distinct()
     )
-    return docs.join(bad, F.col(id_col) == F.col("__id"), "left_anti")
+    return docs.join(bad, digest == F.col("__bad"), "left_anti")

@@ -48,8 +48,8 @@ def _sketch(width: int):
                 keys.append(xxhash.xxh3_128_digest(found.tobytes()) if len(found) else None)
                 regs.append(sk.registers(found).tobytes() if len(found) else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(regs, pa.binary())],
-                names=["doc_id", "n", "set_key", "regs"],
+                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(regs, pa.binary()), batch.column(2)],
+                names=["doc_id", "n", "set_key", "regs", "digest"],
             )
 
     return run
@@ -58,8 +58,10 @@ def _sketch(width: int):
 def _sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [sk.shingle_set(text, width).tobytes() for text in _texts(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["id", "set"])
+            found = [sk.shingle_set(text, width).tobytes() for text in _texts(batch.column(2))]
+            own = [xxhash.xxh3_128_digest(x) == key for x, key in zip(found, batch.column(1).to_pylist(), strict=True)]
+            sets = pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["id", "set"])
+            yield sets.filter(pa.array(own, pa.bool_()))
 
     return run
 
@@ -161,17 +163,31 @@ def near_dedup(
     shingles is at least ``percent`` %; component_id is the smallest id reachable.  A text of
     fewer words is one shingle.  Null, empty and blank texts have none and link with nothing
     (component_id is their own id).  A null id links with nothing and is kept.  Repeated
-    rows come back repeated.  An empty table gives an empty result.  ``cell_shingles`` bounds
+    rows come back repeated; different texts of one id are judged apart.  An empty table gives an empty result.  ``cell_shingles`` bounds
     what a comparison cell holds at a time; ids are broadcast only up to a counted
     ``max_broadcast_ids``, more of them take a shuffle join.  Neither changes the result.
     """
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    sketched = stash(own.mapInArrow(_sketch(width), "doc_id long, n long, set_key binary, regs binary"), "sketches")
+    found = _judged(docs, id_col, text_col, width, percent, cell_shingles, max_broadcast_ids)
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def _digest(text_col: str):
+    return F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
+
+
+def _judged(
+    docs: DataFrame, id_col: str, text_col: str, width: int, percent: int, cell_shingles: int, max_broadcast_ids: int
+) -> DataFrame:
+    """The rows of :func:`near_dedup` with a digest of the text.  A class is known by a number of its own."""
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), _digest(text_col).alias("digest"))
+    sketched = stash(
+        own.mapInArrow(_sketch(width), "doc_id long, n long, set_key binary, regs binary, digest binary"), "sketches"
+    )
     classes = stash(
         sketched.where("n > 0 and doc_id is not null")
         .groupBy("set_key")
         .agg(F.min(F.struct("doc_id", "n", "regs")).alias("x"))
-        .select("set_key", F.col("x.doc_id").alias("id"), "x.n", "x.regs"),
+        .select("set_key", F.monotonically_increasing_id().alias("id"), "x.doc_id", "x.n", "x.regs"),
         "classes",
     )
     nodes = classes.select("id", "n", "regs")
@@ -205,11 +221,12 @@ def near_dedup(
         .mapInArrow(_admitted(percent / 100), "u long, v long"),
         "admitted",
     )
-    taking_part = stash(popular.select("id"), "members")
+    taking_part = stash(popular.select("id").join(classes.select("id", "doc_id", "set_key"), "id"), "members")
     few = taking_part.count() <= max_broadcast_ids
     sets = stash(
-        own.join(F.broadcast(taking_part) if few else taking_part, own.doc_id == taking_part.id)
-        .select("id", "text")
+        own.drop("digest")
+        .join(F.broadcast(taking_part) if few else taking_part, "doc_id")
+        .select("id", "set_key", "text")
         .mapInArrow(_sets(width), "id long, set binary")
         .groupBy("id")
         .agg(F.max("set").alias("set")),
@@ -224,18 +241,21 @@ def near_dedup(
     )
     more = _undecided(pairs, links, nodes, sets, percent, cell_shingles)
     found = components(links.unionByName(more)).select(F.col("node").alias("id"), "component")
-    named_classes = classes.select("set_key", "id").join(found, "id", "left").select(
-        "set_key", F.coalesce("component", "id").alias("component")
+    linked = classes.select("set_key", "id", "doc_id").join(found, "id", "left")
+    least = linked.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("least"))
+    named_classes = linked.join(least, "component", "left").select(
+        "set_key", F.coalesce("least", "doc_id").alias("component")
     )
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return (
-        sketched.select("doc_id", "n", "set_key")
+        sketched.select("doc_id", "n", "set_key", "digest")
         .join(named_classes, "set_key", "left")
         .select(
             "doc_id",
             F.col("n").alias("n_shingles"),
             component.alias("component_id"),
             F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"),
+            "digest",
         )
     )
 
@@ -292,9 +312,24 @@ def _undecided(pairs: DataFrame, links: DataFrame, nodes: DataFrame, sets: DataF
     return stash(cells, "links")
 
 
-def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` without the rows that :func:`near_dedup` does not keep; all columns as they were."""
+def keep_one_of_each(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    *,
+    width: int = 5,
+    percent: int = PERCENT,
+    cell_shingles: int = 1 << 18,
+    max_broadcast_ids: int = 500_000,
+) -> DataFrame:
+    """``docs`` without the rows that :func:`near_dedup` does not keep; all columns as they were.
+
+    Joins on (id, digest): rows that share an id but not a text are told apart.
+    """
     dropped = (
-        near_dedup(docs, id_col, text_col, **options).where("not kept").select(F.col("doc_id").alias("__id")).distinct()
+        _judged(docs, id_col, text_col, width, percent, cell_shingles, max_broadcast_ids)
+        .where("not kept")
+        .select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest"))
+        .distinct()
     )
-    return docs.join(dropped, F.col(id_col) == F.col("__id"), "left_anti")
+    return docs.join(dropped, (F.col(id_col) == F.col("__id")) & (_digest(text_col) == F.col("__digest")), "left_anti")
