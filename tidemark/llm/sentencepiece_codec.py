@@ -6,23 +6,22 @@ The model file is parsed here as a protobuf.  From it are rebuilt: the normalise
 decoder.  Where no piece holds a marker after another character, no merge can cross a
 word's start; words are then split off first and each distinct word is encoded once; ids
 stay the same.  Every batch is encoded by several threads and decoded again, and the ids of
-every whole text are held against the reference implementation's.
+every whole text are held against the reference implementation's.  The ids that come out are
+the tokenizers library's, whatever the comparison says.
 """
 
 from __future__ import annotations
 
+import hashlib
 import os
 import re
 import struct
-from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import lru_cache
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -170,6 +169,8 @@ class Codec:
 
     #: Characters of distinct words that are kept with their ids, at most.
     MOST_HELD = 10_000_000
+    #: Words that go to the library as one pre-split sequence.
+    CHUNK = 2_000
 
     def __init__(self, data: bytes, threads: int = 2):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "true")
@@ -183,58 +184,131 @@ class Codec:
         self._words = build_tokenizer(self.model)
         self._words.normalizer = self._words.pre_tokenizer = None
         self._find = re.compile(WORD).findall
-        self._splits = splits_at_words(self.model)
+        self._identity = not self.model.charsmap and not self.model.remove_extra_whitespaces
+        pieces = [p for p, _, _ in self.model.pieces]
+        self._splits = splits_at_words(self.model) and self.model.add_dummy_prefix and MARK in pieces
+        self._opens = np.array([p.startswith(MARK) for p in pieces])
+        raw = [bytes([int(p[3:5], 16)]) if t == BYTE else p.replace(MARK, " ").encode() for p, _, t in self.model.pieces]
+        self._raw = np.frombuffer(b"".join(raw), np.uint8)
+        self._size = np.array([len(r) for r in raw])
+        self._at = np.cumsum(self._size) - self._size
         self._known: dict[str, bytes] = {}
         self._held = 0
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        return [ids.tolist() for ids in self.encode_checked(texts)[0]]
-
-    def encode_checked(self, texts: list[str]) -> tuple[list[np.ndarray], list[bool]]:
-        """Ids of whole texts, and whether they are the reference's; where not, the reference's are returned."""
-        own = self._by_words(texts) if self._splits else [np.array(x, np.int32) for x in self.encode_whole(texts)]
-        theirs = [np.array(x, np.int32) for x in self.reference_ids(texts)]
-        same = [np.array_equal(x, y) for x, y in zip(own, theirs, strict=True)]
-        return [x if ok else y for x, y, ok in zip(own, theirs, same, strict=True)], same
+        """The ids that the tokenizers library gives."""
+        return [ids.tolist() for ids in self.encode_arrays(texts)]
+
+    def encode_arrays(self, texts: list[str]) -> list[np.ndarray]:
+        if self._splits:
+            return self._by_words(texts)
+        return [np.array(x, np.int32) for x in self.encode_whole(texts)]
+
+    def parity(self, texts: list[str], ids: list[np.ndarray]) -> list[bool]:
+        """Whether the ids of each whole text are the reference's."""
+        return [np.array_equal(x, np.array(y, np.int32)) for x, y in zip(ids, self.reference_ids(texts), strict=True)]
+
+    def _cut(self, text: str) -> list[str]:
+        """The words of the normalised text, each without the marker that opens it."""
+        if self._identity and MARK not in text:
+            words = text.split(" ") if text else []
+        else:
+            words = self._normal(text).split(MARK)[1:]
+        # empty words are runs of markers, which may be pieces of their own
+        return [w[1:] for w in self._find(self._normal(text))] if "" in words else words
 
     def _by_words(self, texts: list[str]) -> list[np.ndarray]:
-        cut = [self._find(self._normal(t)) for t in texts]
+        cut = [self._cut(t) for t in texts]
+        here: dict[str, bytes] = {}  # the words of these texts: small, so looked up fast
         distinct = set(chain.from_iterable(cut))
-        new = list(distinct.difference(self._known))
+        new = []
+        for word, ids in zip(distinct, map(self._known.get, distinct), strict=True):
+            if ids is None:
+                new.append(word)
+            else:
+                here[word] = ids
+        learnt = self._learn(new)
+        here |= learnt
         self._held += sum(map(len, new))
         if self._held > self.MOST_HELD:
-            self._known, new = {}, list(distinct)
-            self._held = sum(map(len, new))
-        found = self._words.encode_batch_fast(new, add_special_tokens=False)
-        self._known.update((w, array("i", e.ids).tobytes()) for w, e in zip(new, found, strict=True))
-        return [np.frombuffer(b"".join(map(self._known.__getitem__, words)), np.int32) for words in cut]
+            self._known, self._held = dict(here), sum(map(len, here))
+        else:
+            self._known |= learnt
+        return [np.frombuffer(b"".join(map(here.__getitem__, words)), np.int32) for words in cut]
+
+    def _learn(self, words: list[str]) -> dict[str, bytes]:
+        """The ids of words.  Where one marker opens a word, one piece of it starts with a marker."""
+        out: dict[str, bytes] = {}
+        plain = [w for w in words if MARK not in w]
+        chunks = [[MARK + w for w in plain[i : i + self.CHUNK]] for i in range(0, len(plain), self.CHUNK)]
+        found = self._words.encode_batch_fast(chunks, is_pretokenized=True, add_special_tokens=False) if chunks else []
+        for i, e in enumerate(found):
+            ids = np.array(e.ids, np.int32)
+            flat, cuts = ids.tobytes(), [*(4 * np.flatnonzero(self._opens[ids])).tolist(), 4 * len(ids)]
+            own = plain[i * self.CHUNK : (i + 1) * self.CHUNK]
+            out |= {w: flat[a:b] for w, a, b in zip(own, cuts[:-1], cuts[1:], strict=True)}
+        rest = [w for w in words if MARK in w]
+        alone = self._words.encode_batch_fast([MARK + w for w in rest], add_special_tokens=False)
+        return out | {w: np.array(e.ids, np.int32).tobytes() for w, e in zip(rest, alone, strict=True)}
 
     def encode_whole(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _normal(self, text: str) -> str:
-        if not text or self.model.charsmap or self.model.remove_extra_whitespaces:
+        if not text or not self._identity:
             return self.tokenizer.normalizer.normalize_str(text) if self.tokenizer.normalizer else text
         return MARK * self.model.add_dummy_prefix + text.replace(" ", MARK)
 
     def decode(self, ids: list[list[int]]) -> list[str]:
         return self.tokenizer.decode_batch(ids, skip_special_tokens=False)
 
+    def round_trips(self, texts: list[str], ids: list[np.ndarray]) -> list[bool]:
+        """Whether decoding the ids of each whole text gives its normalised text back.
+
+        The pieces' bytes are put together for all texts at once; only where these are not the
+        text's does the library decode them, and that decides.
+        """
+        flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
+        size = self._size[flat]
+        ends = np.cumsum(size)
+        place = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self._at[flat] - (ends - size), size)
+        joined = self._raw[place].tobytes()
+        cuts = np.concatenate([[0], ends])[np.cumsum([0, *map(len, ids)])].tolist()
+        lead = int(self.model.add_dummy_prefix)
+        out = []
+        for text, own, a, b in zip(texts, ids, cuts[:-1], cuts[1:], strict=True):
+            wanted = self.normalised(text)
+            skip = lead if joined[a : a + 1] == b" " else 0
+            same = joined[a + skip : b] == wanted.encode()
+            out.append(same or self.decode([own.tolist()])[0] == wanted)
+        return out
+
     def reference_ids(self, texts: list[str]) -> list[list[int]]:
         return self.reference.encode(texts, num_threads=self.threads)
 
     def normalised(self, text: str) -> str:
         """What decoding gives back: the normalised text without marker and dummy prefix."""
-        if not self.model.charsmap and not self.model.remove_extra_whitespaces:
+        if self._identity:
             return text.replace(MARK, " ")
         out = self.reference.normalize(text).replace(MARK, " ")
         return out[1:] if self.model.add_dummy_prefix else out
 
 
-@lru_cache(maxsize=2)
-def _codec(name: str, threads: int) -> Codec:
-    with open(SparkFiles.get(name), "rb") as f:
-        return Codec(f.read(), threads)
+_CODECS: dict[tuple[bytes, int], Codec] = {}
+
+
+def _codec(data: bytes, threads: int) -> Codec:
+    """One codec a Python worker for each model, known by its content."""
+    key = (hashlib.sha256(data).digest(), threads)
+    if key not in _CODECS:
+        _CODECS.clear()
+        _CODECS[key] = Codec(data, threads)
+    return _CODECS[key]
+
+
+def _model_bytes(path: str) -> bytes:
+    with open(path, "rb") as f:
+        return f.read()
 
 
 def _batches(texts: list[str], most_chars: int) -> Iterator[list[str]]:
@@ -260,30 +334,29 @@ def encode_documents(
 ) -> DataFrame:
     """One row per input row: doc_id, ids, n_tokens, round_trip, parity.
 
-    ``round_trip``: decoding the ids gives the normalised text back.  ``parity``: the library
-    gave the reference implementation's ids of the whole text; where it did not (ties between
-    merges of equal score), the reference's ids are returned.  Null and empty texts have no ids and pass both.  The
-    model file is shipped with the job, so executors need not have ``model_path``.
+    ``ids`` are always the tokenizers library's.  ``round_trip``: decoding them gives the
+    normalised text back.  ``parity``: they are the reference implementation's ids of the whole
+    text; known to differ are only runs of hundreds of markers, where merges of equal score tie.  Null and empty texts have no ids and pass both; texts of any length are encoded
+    whole.  Repeated rows come back repeated, null ids stay null, an empty table gives an empty
+    result, and other columns are not looked at.  The model travels with the job, so executors
+    need not have ``model_path``.
     """
-    spark = docs.sparkSession
-    spark.sparkContext.addFile(model_path)
-    name = os.path.basename(model_path)
+    data = _model_bytes(model_path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(name, threads)
+        codec = _codec(data, threads)
         for batch in batches:
             at = 0
             for texts in _batches([x or "" for x in batch.column(1).to_pylist()], batch_chars):
-                ids, same = codec.encode_checked(texts)
-                back = codec.decode([x.tolist() for x in ids])
+                ids = codec.encode_arrays(texts)
                 ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(at, len(texts)),
                         pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids))),
                         pa.array(np.diff(ends).astype(np.int64)),
-                        pa.array([b == codec.normalised(t) for b, t in zip(back, texts, strict=True)], pa.bool_()),
-                        pa.array(same, pa.bool_()),
+                        pa.array(codec.round_trips(texts, ids), pa.bool_()),
+                        pa.array(codec.parity(texts, ids), pa.bool_()),
                     ],
                     names=["doc_id", "ids", "n_tokens", "round_trip", "parity"],
                 )
@@ -295,12 +368,11 @@ def encode_documents(
 
 
 def decode_documents(encoded: DataFrame, model_path: str, id_col: str = "doc_id", ids_col: str = "ids", *, threads: int = 2) -> DataFrame:
-    """One row per input row: doc_id, text.  Null or empty ids give the empty text."""
-    encoded.sparkSession.sparkContext.addFile(model_path)
-    name = os.path.basename(model_path)
+    """One row per input row: doc_id, text, by the library's decoder.  Null or empty ids give the empty text."""
+    data = _model_bytes(model_path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(name, threads)
+        codec = _codec(data, threads)
         for batch in batches:
             for part in (batch.slice(i, 256) for i in range(0, len(batch), 256)):
                 texts = codec.decode([x or [] for x in part.column(1).to_pylist()])
