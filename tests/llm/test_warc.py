@@ -48,7 +48,7 @@ def strip(df):
 def test_round_trip_against_brute_force(spark, options):
     rows = case()
     index = write_archives(pages(spark, rows), **options)
-    assert strip(index.read()) == brute(rows)
+    assert strip(index.read()) == strip(index.captures(pages(spark, rows))) == brute(rows)
     read = {(r.page_id, r.url): r.payload for r in index.read().where("record_type = 'response'").collect()}
     for i, url, html in rows:
         if i == 200:
@@ -68,12 +68,15 @@ def test_archives_are_plain_gzip_warc(spark):
     index = write_archives(pages(spark, [(1, "http://a.b/c", "x" * 200), (2, "http://a.b/d", "x" * 200)]))
     files = list(Path(index.folder.removeprefix("file://"), "warc").glob("*.warc.gz"))
     text = b"".join(gzip.decompress(f.read_bytes()) for f in files)
-    assert text.count(b"WARC/1.1\r\n") == 2 and text.count(b"WARC-Type: revisit") == 1
+    assert text.count(b"WARC/1.1\r\n") == 2 + len(files) and text.count(b"WARC-Type: revisit") == 1
+    assert text.count(b"WARC-Type: warcinfo") == len(files)
+    assert text.count(b"WARC-Refers-To-Target-URI: http://a.b/c\r\n") == text.count(b"WARC-Refers-To-Date: ") == 1
 
 
 def test_empty_table(spark):
     index = write_archives(pages(spark, []))
     assert index.read().count() == 0 and list(index.lookup("http://a.b/")) == []
+    assert index.captures(pages(spark, [(1, "http://a.b/", "x")])).count() == 0
 
 
 def test_a_damaged_record_is_refused():
@@ -103,7 +106,14 @@ def test_lookup_searches_sorted_directories_and_scans_no_table(spark):
         want.setdefault(url, []).append(i)
     assert list(index.lookup("http://h.org/nothing")) == []
     assert len(index._files) > 1
+    files = index._files
+    asked = spark.createDataFrame([(u,) for u in [*want, *want, "http://h.org/nothing", None]], "url string")
+    assert sorted(r.page_id for r in index.resolve(asked).collect()) == sorted(i for i, _, _ in rows)
+    some = [u for u in want if "\t" in u or "!" in u]
+    got = index.captures(spark.createDataFrame([(u,) for u in some], "url string")).collect()
+    assert sorted(r.page_id for r in got) == sorted(i for u in some for i in want[u])
     index.directory = None
+    assert index._files is files
     for url, ids in want.items():
         assert [r["page_id"] for r in index.lookup(url)] == ids, url
     assert list(index.lookup("http://a.org/")) == list(index.lookup("http://z.org/")) == []

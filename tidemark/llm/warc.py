@@ -4,9 +4,11 @@ Pages are written as gzip members, one record each, into archive files in the sh
 folder.  Payloads that occur again are written as ``revisit`` records that point at the
 ``response``.  The index sorts entries by reversed-host URL key into compressed blocks; a
 sparse directory holds one row a block; each index file's part of it is written beside the
-file.  A lookup binary-searches the key ranges of the index files (held by the driver, one a
-file), then the directory of a file, reads one block by range, binary-searches the block and
-reads one record by range.
+file.  A lookup binary-searches the key ranges of the index files (one row a file, which the
+driver holds), then the directory of a file, reads one block by range, binary-searches the
+block and reads one record by range.  ``lookup`` does this for one URL, ``captures`` for a
+table of URLs in parallel: sorted keys find their blocks, so directories are read one after
+the other, and every block is searched once, wherever a hot key's many blocks are dealt.
 
 Files are opened through ``pyarrow.fs``, so the folder may be in any store it can reach.
 Every attempt of a task writes files of its own and returns their names, so a lost
@@ -63,7 +65,24 @@ def _header_safe(text: str) -> str:
     return "".join(c if c >= " " and c != "\x7f" else f"%{ord(c):02X}" for c in text)
 
 
-def warc_record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, date: str) -> bytes:
+def warc_info(name: str, date: str) -> bytes:
+    """The uncompressed record that opens an archive file."""
+    block = b"software: tidemark\r\nformat: WARC File Format 1.1\r\n"
+    lines = [
+        "WARC/1.1",
+        "WARC-Type: warcinfo",
+        f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(_NAMES, name)}>",
+        f"WARC-Filename: {name}",
+        f"WARC-Date: {date}",
+        "Content-Type: application/warc-fields",
+        f"Content-Length: {len(block)}",
+    ]
+    return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
+def warc_record(
+    page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, date: str, refers_url: str | None = None
+) -> bytes:
     """One uncompressed record."""
     kind = "response" if refers_to is None else "revisit"
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
@@ -87,8 +106,11 @@ def warc_record(page_id: int | None, url: str | None, payload: bytes, digest: st
         lines += [
             "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest",
             f"WARC-Refers-To: {_record_id(refers_to, digest)}",
+            f"WARC-Refers-To-Date: {date}",
             f"X-Refers-To-Page-Id: {refers_to}",
         ]
+        if refers_url:
+            lines.append(f"WARC-Refers-To-Target-URI: {_header_safe(refers_url)}")
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
@@ -141,14 +163,17 @@ def _archive_writer(folder: str, date: str, file_bytes: int):
                     v.clear()
 
         for batch in batches:
-            rows = zip(*(batch.column(i) for i in range(5)), batch.column(5).cast(pa.binary()), strict=True)
-            for key, page_id, url, digest, refers_to, html in rows:
+            rows = zip(*(batch.column(i) for i in range(6)), batch.column(6).cast(pa.binary()), strict=True)
+            for key, page_id, url, digest, refers_to, refers_url, html in rows:
                 if out is None:
                     fs.create_dir(base, recursive=True)
                     name = f"{uuid.uuid4().hex}.warc.gz"
                     out = fs.open_output_stream(f"{base}/{name}", compression=None)
+                    data = _gzip(warc_info(name, date))
+                    out.write(data)
+                    at = len(data)
                 page, first = page_id.as_py(), refers_to.as_py()
-                data = _gzip(warc_record(page, url.as_py(), html.as_py() or b"", digest.as_py(), first, date))
+                data = _gzip(warc_record(page, url.as_py(), html.as_py() or b"", digest.as_py(), first, date, refers_url.as_py()))
                 out.write(data)
                 for k, v in zip(entries, (key.as_py(), page, name, at, len(data)), strict=True):
                     entries[k].append(v)
@@ -242,12 +267,58 @@ def _block_reader(folder: str):
         ranges = _Ranges(folder)
         for batch in batches:
             for file, offset, length in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                columns = list(zip(*_entries(ranges.read(file, offset, length)), strict=True))
-                types = (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(columns, types, strict=True)],
-                    names=["key", "page_id", "file", "offset", "length"],
-                )
+                yield _placed(list(_entries(ranges.read(file, offset, length))))
+
+    return run
+
+
+_PLACE = {"key": pa.string(), "page_id": pa.int64(), "file": pa.string(), "offset": pa.int64(), "length": pa.int64()}
+
+
+def _placed(rows: list[tuple]) -> pa.RecordBatch:
+    columns = zip(*rows, strict=True) if rows else [[]] * len(_PLACE)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _PLACE.values(), strict=True)], names=list(_PLACE))
+
+
+def _locator(folder: str, files: list[tuple[str, str, str]]):
+    """The blocks (file, offset, length) that may hold each key; keys come sorted."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ranges = _Ranges(folder, 0)
+        held: dict[str, list[tuple]] = {}
+        for batch in batches:
+            out = []
+            for key in batch.column(0).to_pylist():
+                own = [name for _, _, name in _spanning(files, key)]
+                held = {name: rows for name, rows in held.items() if name in own}  # sorted keys never come back to a file
+                for name in own:
+                    if name not in held:
+                        held[name] = _directory(ranges, name)
+                    out += [(key, name, int(offset), int(length)) for _, _, offset, length in _spanning(held[name], key)]
+            types = (pa.string(), pa.string(), pa.int64(), pa.int64())
+            columns = zip(*out, strict=True) if out else [[]] * 4
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["key", "file", "offset", "length"]
+            )
+
+    return run
+
+
+def _searcher(folder: str):
+    """The entries of the wanted keys; the rows of one block come together, and it is read once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ranges, at, rows = _Ranges(folder), None, []
+        for batch in batches:
+            out = []
+            for key, file, offset, length in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if at != (file, offset):
+                    at, rows = (file, offset), list(_entries(ranges.read(file, offset, length)))
+                i = bisect.bisect_left(rows, key, key=lambda r: r[0])
+                while i < len(rows) and rows[i][0] == key:
+                    out.append(rows[i])
+                    i += 1
+            yield _placed(out)
 
     return run
 
@@ -285,7 +356,30 @@ class CaptureIndex:
 
     def read(self, payloads: bool = True) -> DataFrame:
         """Every record, by range reads in the order of each archive."""
-        placed = self.entries().select("file", "offset", "length")
+        return self._records(self.entries(), payloads)
+
+    def resolve(self, urls: DataFrame, url_col: str = "url") -> DataFrame:
+        """The entries of the captures of every distinct URL of a table: key, page_id, file, offset, length.
+
+        Every key is searched through the file ranges, one file's directory and the blocks that
+        may hold it.  A null URL stands for captures without one; unknown URLs find nothing.
+        """
+        keys = urls.select(_index_key(F.col(url_col)).alias("key")).distinct()
+        index = f"{self.folder}/index"
+        located = (
+            keys.repartitionByRange("key")
+            .sortWithinPartitions("key")
+            .mapInArrow(_locator(index, self._files), "key string, file string, offset long, length long")
+        )
+        together = located.repartition("file", "offset").sortWithinPartitions("file", "offset", "key")
+        return together.mapInArrow(_searcher(index), _ENTRY)
+
+    def captures(self, urls: DataFrame, url_col: str = "url", payloads: bool = True) -> DataFrame:
+        """The records of the captures of every distinct URL of a table, each once."""
+        return self._records(self.resolve(urls, url_col), payloads)
+
+    def _records(self, entries: DataFrame, payloads: bool) -> DataFrame:
+        placed = entries.select("file", "offset", "length")
         ordered = placed.repartition("file", F.floor(F.col("offset") / (8 << 20))).sortWithinPartitions("file", "offset")
         return ordered.mapInArrow(_record_reader(f"{self.folder}/warc", payloads), _RECORD)
 
@@ -327,7 +421,9 @@ def write_archives(
     Of equal payloads of ``least_payload`` bytes or more the row with the smallest id is the
     response and the others revisit it.  A null payload is empty.  A row without an id is
     always a response and never referred to; rows that repeat the smallest id are responses
-    as well.  Null urls are indexed under the empty key.  An empty table writes nothing.
+    as well (of their urls the smallest is named by revisits).  Repeated rows are records each.
+    Null urls are indexed under the empty key; keys may hold any character.  Payloads of any
+    length are one record.  An empty table writes nothing, and other columns are not looked at.
     Only ids and digests are shuffled to find equal payloads; the pages themselves move at
     most once, and not at all while the revisits are at most ``max_broadcast_rows`` (counted).
     """
@@ -341,21 +437,21 @@ def write_archives(
         F.octet_length(html).alias("size"),
         html.alias("html"),
     )
-    narrow = stash(full.where("page_id is not null").select("page_id", "digest", "size"), "digests")
+    narrow = stash(full.where("page_id is not null").select("page_id", "url", "digest", "size"), "digests")
     first = (
         narrow.where(F.col("size") >= least_payload)
         .groupBy("digest")
-        .agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n"))
+        .agg(F.min(F.struct("page_id", "url")).alias("first"), F.count("*").alias("n"))
         .where("n > 1")
-        .drop("n")
+        .select("digest", F.col("first.page_id").alias("refers_to"), F.col("first.url").alias("refers_url"))
     )
     revisits = stash(
-        narrow.join(first, "digest").where("page_id <> refers_to").select("page_id", "digest", "refers_to").distinct(),
+        narrow.drop("url").join(first, "digest").where("page_id <> refers_to").select("page_id", "digest", "refers_to", "refers_url").distinct(),
         "revisits",
     )
     few = revisits.count() <= max_broadcast_rows
     records = full.join(F.broadcast(revisits) if few else revisits, ["page_id", "digest"], "left").select(
-        _index_key(F.col("url")).alias("key"), "page_id", "url", "digest", "refers_to", "html"
+        _index_key(F.col("url")).alias("key"), "page_id", "url", "digest", "refers_to", "refers_url", "html"
     )
     entries = stash(records.mapInArrow(_archive_writer(f"{folder}/warc", date, file_bytes), _ENTRY), "entries")
     directory = stash(
