@@ -1,5 +1,6 @@
 from pyspark.sql import functions as F
 
+from tidemark.llm.bloom import BLOCK_BYTES, Shape, possible, shape
 from tidemark.llm.queries import URL_RULES
 from tidemark.llm.url_filter import canonical_url, filter_urls
 
@@ -17,6 +18,9 @@ CASES = [
     ("http://bad.org/a/", "bad.org", "/a", None, "block"),
     ("http://www.bad.org/a?utm_source=x#y", "www.bad.org", "/a", None, "block"),
     ("http://bad.org/a?page=2", "bad.org", "/a", None, "allow"),
+    ("http://bad.org:80/a", "bad.org:80", "/a", None, "block"),
+    ("http://me:pw@bad.org./a", "me:pw@bad.org.", "/a", None, "block"),
+    ("http://bad.org:8080/a", "bad.org:8080", "/a", None, "allow"),
     ("no scheme", "", "", None, "allow"),
     ("", "", "", None, "allow"),
     (None, "", "", None, "allow"),
@@ -32,7 +36,7 @@ def run(spark, rows, listed, **options):
 
 def test_rules_and_list(spark):
     rows = [(i, c[0], None) for i, c in enumerate(CASES)]
-    for options in ({}, {"max_filter_bytes": 0}):  # with the filter, and beyond its bound
+    for options in ({}, {"max_filter_bytes": 0}):  # with a filter that fits, and with the smallest
         out = {r.page_id: r for r in run(spark, rows, ["https://bad.org/a", "http://bad.org/a/", None], **options).collect()}
         for i, (_, host, path, rule, verdict) in enumerate(CASES):
             path = path + "/" if rows[i][1] == "http://bad.org/a/" else path
@@ -40,10 +44,25 @@ def test_rules_and_list(spark):
 
 
 def test_false_positives_are_removed(spark):
-    """With one bit set of blocks so full that nearly all probes hit, only listed URLs are blocked."""
+    """Also with blocks so full that nearly all probes hit, only listed URLs are blocked."""
     rows = [(i, f"http://h.org/{i}", None) for i in range(3000)]
-    out = run(spark, rows, [f"http://h.org/{i}" for i in range(0, 3000, 3)])
-    assert {r.page_id for r in out.where("verdict = 'block'").collect()} == set(range(0, 3000, 3))
+    for options in ({}, {"max_filter_bytes": 0}):
+        out = run(spark, rows, [f"http://h.org/{i}" for i in range(0, 3000, 3)], **options)
+        assert {r.page_id for r in out.where("verdict = 'block'").collect()} == set(range(0, 3000, 3))
+
+
+def test_the_filter_stays_at_any_length_of_the_list():
+    assert shape(10**6) == Shape(250_000, 6)
+    for n in (10**8, 10**10):
+        assert shape(n).blocks * BLOCK_BYTES <= 64 << 20 and shape(n).hashes >= 1
+
+
+def test_the_filter_lets_few_others_pass(spark):
+    keys = spark.range(5000).selectExpr("concat('k', id) as key")
+    rows = spark.range(50_000).selectExpr("if(id = 7, null, concat('k', id)) as key")
+    out = possible(rows, keys, "key", shape(5000))
+    assert out.where("key is null and maybe").count() == 0
+    assert 4999 <= out.where("maybe").count() < 5500
 
 
 def test_empty_tables_repeats_and_null_ids(spark):

@@ -1,4 +1,4 @@
-"""What several operators share: the shared folder, stashed tables, ASCII lower-casing."""
+"""What several operators share: the shared folder, stashed tables, rows by keys, ASCII lower-casing."""
 
 from __future__ import annotations
 
@@ -8,17 +8,22 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.llm.bloom import possible, shape
+
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the setting is absent (local tests) a temporary folder is made and set.
+    Only where the setting is absent and the master is local (tests) a temporary folder is
+    made and set; a cluster without the setting is refused.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='tidemark-')}")
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
@@ -39,6 +44,24 @@ def stash(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def matching(docs: DataFrame, key: Column, keys: DataFrame, *, keep: bool, max_broadcast_rows: int = 500_000) -> DataFrame:
+    """The rows of ``docs`` whose ``key`` is (keep) or is not among ``keys.key``; all columns as they were.
+
+    ``keys`` is written once and counted.  Up to ``max_broadcast_rows`` of them are broadcast.
+    More are joined by a shuffle of only those rows that a Bloom filter of bounded size lets
+    pass; all other rows stay where they are.  Null keys are among nothing.
+    """
+    known = stash(keys.select("key").where("key is not null").distinct(), "keys")
+    n = known.count()
+    rows = docs.select(F.struct("*").alias("row"), key.alias("key"))  # no column of docs can clash
+    how = "left_semi" if keep else "left_anti"
+    if n <= max_broadcast_rows:
+        return rows.join(F.broadcast(known), "key", how).select("row.*")
+    probed = possible(rows, known, "key", shape(n))
+    found = probed.where("maybe").join(known, "key", how).select("row.*")
+    return found if keep else found.unionByName(probed.where("not maybe").select("row.*"))
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only.  Pure ASCII (as many bytes as characters) takes the fast path."""
     return F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(

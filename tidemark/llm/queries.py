@@ -16,7 +16,7 @@ from tidemark.llm.pii import find_personal_data
 from tidemark.llm.quality import score_quality
 from tidemark.llm.sentencepiece_codec import encode_documents
 from tidemark.llm.toxicity import score_toxicity
-from tidemark.llm.url_filter import filter_urls
+from tidemark.llm.url_filter import filter_urls, url_host
 from tidemark.llm.warc import write_archives
 
 # The rules that the query's contract states, and the hosts whose pages are listed.
@@ -27,22 +27,23 @@ URL_RULES = [
     ("net/es/", "block"),
     ("net/fr/", "block"),
 ]
-LISTED_HOSTS = ["ads-track.example.org", "cheap-pills.example.com", "spam-farm.example.org"]
+LISTED_SITES = ["ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm"]
 LISTED_LANGS = ["de", "en", "es", "fr"]
 LISTED_PER_LANG = 1000
 
-
 SENTENCEPIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
 
-def listed_urls(spark: SparkSession) -> DataFrame:
-    """The list of the query: each host's numbered pages in each language."""
-    hosts = F.explode(F.array(*map(F.lit, LISTED_HOSTS))).alias("host")
+def listed_urls(spark: SparkSession, pages: DataFrame) -> DataFrame:
+    """The list of the query: every page of the listed sites that the table has, so it grows with it,
+    and numbered pages of these sites whether the table has them or not.
+    """
+    sites = f"(^|[.])({'|'.join(LISTED_SITES)})[.]example[.](com|net|org)$"
+    own = pages.where(url_host(F.col("url")).rlike(sites)).select("url")
+    hosts = F.explode(F.array(*[F.lit(f"{s}.example.org") for s in LISTED_SITES])).alias("host")
     langs = F.explode(F.array(*map(F.lit, LISTED_LANGS))).alias("lang")
-    numbers = spark.range(LISTED_PER_LANG)
-    return numbers.select("id", hosts).select("id", "host", langs).select(
-        F.concat_ws("/", F.lit("http:/"), "host", "lang", F.col("id").cast("string")).alias("url")
-    )
+    numbered = spark.range(LISTED_PER_LANG).select("id", hosts).select("id", "host", langs)
+    return own.unionByName(numbered.select(F.concat_ws("/", F.lit("http:/"), "host", "lang", F.col("id").cast("string")).alias("url")))
 
 
 def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,15 +58,12 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str, model_path: str = SENTEN
 
 
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return filter_urls(table(spark, sf_dir, "pages"), listed_urls(spark), URL_RULES)
+    pages = table(spark, sf_dir, "pages")
+    return filter_urls(pages, listed_urls(spark, pages), URL_RULES)
 
 
 OP3_SQL = """
-WITH listed AS (
-  SELECT h || '/' || l || '/' || CAST(n AS VARCHAR) AS canon
-  FROM (SELECT unnest(['ads-track.example.org', 'cheap-pills.example.com', 'spam-farm.example.org']) AS h),
-       (SELECT unnest(['de', 'en', 'es', 'fr']) AS l), range(1000) AS t(n)),
-parts AS (
+WITH parts AS (
   SELECT page_id,
          translate(regexp_extract(coalesce(url, ''), '://([^/?#]*)([^?#]*)', 1),
                    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
@@ -83,9 +81,17 @@ ruled AS (
          WHEN host = 'net' OR ends_with(host, '.net') THEN
            CASE WHEN starts_with(path, '/es/') THEN 'net/es/' WHEN starts_with(path, '/fr/') THEN 'net/fr/' END
     END AS rule,
-    regexp_replace(host, '^www[.]', '') || regexp_replace(path, '/+$', '')
-      || CASE WHEN query = '' THEN '' ELSE '?' || query END AS canon
-  FROM parts)
+    regexp_replace(regexp_replace(regexp_replace(regexp_replace(
+        host, '^.*@', ''), ':(80|443)?$', ''), '[.]+$', ''), '^www[.]', '')
+      || regexp_replace(path, '/+$', '') || CASE WHEN query = '' THEN '' ELSE '?' || query END AS canon
+  FROM parts),
+listed AS (
+  SELECT canon FROM ruled
+  WHERE regexp_matches(host, '(^|[.])(ads-track|adult-x|casino-win|cheap-pills|free-bets|spam-farm)[.]example[.](com|net|org)$')
+  UNION
+  SELECT s || '.example.org/' || l || '/' || CAST(n AS VARCHAR)
+  FROM (SELECT unnest(['ads-track', 'adult-x', 'casino-win', 'cheap-pills', 'free-bets', 'spam-farm']) AS s),
+       (SELECT unnest(['de', 'en', 'es', 'fr']) AS l), range(1000) AS t(n))
 SELECT page_id, host, path, rule,
        CASE WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
             WHEN canon IN (SELECT canon FROM listed) THEN 'block' ELSE 'allow' END AS verdict,
@@ -181,8 +187,9 @@ FROM sizes s JOIN (SELECT node, min(seen) AS component_id FROM reach GROUP BY no
 """
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Writes the archives and their index, then reads every record back through the index."""
-    return write_archives(table(spark, sf_dir, "pages")).read(payloads=False).drop("url", "payload")
+    """Writes the archives and their index, then looks every page's URL up in it and reads what is found."""
+    pages = table(spark, sf_dir, "pages")
+    return write_archives(pages).captures(pages, payloads=False).drop("url", "payload")
 
 
 OP10_SQL = """

@@ -1,9 +1,9 @@
 """URL filter: host/path rules first, then a blocked Bloom filter over listed URLs.
 
-The Bloom filter is a table of 64-bit blocks.  A URL hashes to one block and to ``HASHES``
-bits in it, so a probe is one broadcast lookup and one mask test.  Only possible hits go on
-to the exact hash join against the list, which removes the false positives.  DataFrame
-functions only.
+A URL that no rule decides is probed in a Bloom filter of the list's canonical URLs (one
+broadcast lookup and one mask test).  Only possible hits go on to the exact hash join against
+the list, which removes the false positives.  The filter's size has a fixed bound; a list too
+long for it has a filter that lets more URLs pass, never none.  DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -13,8 +13,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.bloom import possible, shape
+from tidemark.llm.common import stash
+
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-HASHES = 6
 
 
 def url_host(url: Column) -> Column:
@@ -29,15 +31,16 @@ def url_path(url: Column) -> Column:
 
 
 def canonical_url(url: Column) -> Column:
-    """host (no leading ``www.``) + path (no trailing ``/``) + query without ``utm_`` parameters.
+    """host (no user, port 80 or 443, last dots or leading ``www.``) + path (no trailing ``/``) + query without ``utm_`` parameters.
 
-    A null url or one without ``://`` gives the empty string.
+    A null url or one without ``://`` gives the empty string.  Percent codes stay as they are.
     """
     query = F.regexp_extract(F.coalesce(url, F.lit("")), "://[^?#]*[?]([^#]*)", 1)
     query = F.regexp_replace(F.regexp_replace(query, "(^|&)utm_[^&]*", ""), "^&", "")
-    base = F.concat(
-        F.regexp_replace(url_host(url), "^www[.]", ""), F.regexp_replace(url_path(url), "/+$", "")
-    )
+    host = url_host(url)
+    for extra in ("^.*@", ":(80|443)?$", "[.]+$", "^www[.]"):
+        host = F.regexp_replace(host, extra, "")
+    base = F.concat(host, F.regexp_replace(url_path(url), "/+$", ""))
     return F.when(query == "", base).otherwise(F.concat(base, F.lit("?"), query))
 
 
@@ -54,28 +57,6 @@ def matching_rule(host: Column, path: Column, rules: Sequence[tuple[str, str]],
     return out
 
 
-def _block(canon: Column, blocks: int) -> Column:
-    return F.pmod(F.xxhash64(canon), F.lit(blocks))
-
-
-def _mask(canon: Column) -> Column:
-    h = F.xxhash64(F.lit("bits"), canon)
-    mask = F.lit(0).cast("long")
-    for i in range(HASHES):
-        bit = F.shiftrightunsigned(h, 6 * i).bitwiseAND(F.lit(63)).cast("int")
-        mask = mask.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), bit))
-    return mask
-
-
-def bloom_blocks(listed: DataFrame, n_listed: int, bits_per_key: int = 16) -> tuple[DataFrame, int]:
-    """The filter of ``listed.canon`` as rows (block, word), and the number of blocks."""
-    blocks = max(64, -(-n_listed * bits_per_key // 64))
-    return (
-        listed.groupBy(_block(F.col("canon"), blocks).alias("block")).agg(F.bit_or(_mask(F.col("canon"))).alias("word")),
-        blocks,
-    )
-
-
 def filter_urls(
     pages: DataFrame,
     listed: DataFrame,
@@ -88,14 +69,15 @@ def filter_urls(
     """One row per page: page_id, host, path, rule, verdict, listed.
 
     ``listed`` has a column ``url``; its rows are canonicalised and deduplicated here.  A
-    rule decides if one fits; else a listed URL is blocked and any other allowed.  Null
-    urls have empty host and path, fit no rule and are allowed; repeated rows stay.  The
-    filter is broadcast only while its computed size is within ``max_filter_bytes``; a
-    longer list is joined exactly without it.  A hot URL is dealt out by AQE's skew join.
+    rule decides if one fits (the longest; of equal rules the later one); else a listed URL is
+    blocked and any other allowed.  Null urls have empty host and path, fit no rule and are
+    allowed, as are urls without ``://``.  Repeated rows and null ids come back as they are, an
+    empty table gives an empty result, an empty list blocks nothing, and other columns are not
+    looked at.  ``max_filter_bytes`` bounds the filter's broadcast and never the result.  A hot
+    URL is dealt out by AQE's skew join.
     """
     url = F.col(url_col)
-    canon = listed.select(canonical_url(F.col("url")).alias("canon")).where("canon <> ''").distinct()
-    n_listed = canon.count()
+    canon = stash(listed.select(canonical_url(F.col("url")).alias("canon")).where("canon <> ''").distinct(), "listed")
     host, path = url_host(url), url_path(url)
     judged = pages.select(
         F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"), canonical_url(url).alias("canon")
@@ -104,25 +86,14 @@ def filter_urls(
         matching_rule(F.col("host"), F.col("path"), rules, 0).alias("rule"),
         matching_rule(F.col("host"), F.col("path"), rules, 1).alias("ruled"),
     )
-    filter_table, blocks = bloom_blocks(canon, n_listed)
-    if 32 * blocks <= max_filter_bytes:
-        probed = judged.withColumn("block", _block(F.col("canon"), blocks)).join(
-            F.broadcast(filter_table), "block", "left"
-        )
-        mask = _mask(F.col("canon"))
-        maybe = F.coalesce(F.col("word").bitwiseAND(mask) == mask, F.lit(False))
-    else:
-        probed, maybe = judged, F.lit(True)
-    probed = probed.withColumn("maybe", F.col("ruled").isNull() & maybe)
-    hits = probed.where("maybe").join(
-        canon.withColumn("listed", F.lit(True)).hint("shuffle_hash"), "canon", "left"
-    )
-    passed = probed.where("not maybe").withColumn("listed", F.lit(False))
-    both = hits.select("page_id", "host", "path", "rule", "ruled", "listed").unionByName(
-        passed.select("page_id", "host", "path", "rule", "ruled", "listed")
+    probed = possible(judged, canon, "canon", shape(canon.count(), max_filter_bytes)).withColumn(
+        "maybe", F.col("maybe") & F.col("ruled").isNull()
     )
+    columns = ["page_id", "host", "path", "rule", "ruled", "listed"]
+    hits = probed.where("maybe").join(canon.withColumn("listed", F.lit(True)), "canon", "left").select(columns)
+    passed = probed.where("not maybe").withColumn("listed", F.lit(False)).select(columns)
     hit = F.coalesce("listed", F.lit(False))
-    return both.select(
+    return hits.unionByName(passed).select(
         "page_id",
         "host",
         "path",
