@@ -40,8 +40,9 @@ def test_repeated_rows_and_null_ids(documents, copies):
     out = exact_dedup(documents(rows)).collect()
     assert len(out) == copies + 2 and sum(r.kept for r in out) == 2
     assert {r.keep_id for r in out} == {5, None}
-    kept = drop_exact_copies(documents(rows))
-    assert sorted(map(str, [(r.doc_id, r.text) for r in kept.collect()])) == ["(5, 'a')", "(None, 'b')"]
+    for options in ({}, {"max_broadcast_rows": 0}):
+        kept = drop_exact_copies(documents(rows), **options)
+        assert sorted(map(str, [(r.doc_id, r.text) for r in kept.collect()])) == ["(5, 'a')", "(None, 'b')"]
 
 
 def test_same_id_other_text_and_columns(documents):

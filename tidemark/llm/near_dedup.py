@@ -27,8 +27,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import setsketch as sk
-from tidemark.llm.common import stash
+from tidemark.llm.common import matching, stash
 from tidemark.llm.components import components
+from tidemark.llm.exact_dedup import row_key
 
 PERCENT = 80
 
@@ -324,12 +325,10 @@ def keep_one_of_each(
 ) -> DataFrame:
     """``docs`` without the rows that :func:`near_dedup` does not keep; all columns as they were.
 
-    Joins on (id, digest): rows that share an id but not a text are told apart.
+    Rows go by (id, digest): rows that share an id but not a text are told apart.  Rows that
+    stay do not move, unless more than ``max_broadcast_ids`` keys go.
     """
-    dropped = (
-        _judged(docs, id_col, text_col, width, percent, cell_shingles, max_broadcast_ids)
-        .where("not kept")
-        .select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest"))
-        .distinct()
-    )
-    return docs.join(dropped, (F.col(id_col) == F.col("__id")) & (_digest(text_col) == F.col("__digest")), "left_anti")
+    judged = _judged(docs, id_col, text_col, width, percent, cell_shingles, max_broadcast_ids)
+    dropped = judged.where("not kept").select(row_key(F.col("doc_id"), F.hex("digest")).alias("key"))
+    key = row_key(F.col(id_col).cast("long"), F.hex(_digest(text_col)))
+    return matching(docs, key, dropped, keep=False, max_broadcast_rows=max_broadcast_ids)
