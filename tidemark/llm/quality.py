@@ -23,27 +23,47 @@ FOLDS, HELD_OUT = 5, 0
 Condition = tuple[str, bool, float]  # statistic, whether it must exceed, bound
 
 
-def statistics(text: Column) -> dict[str, Column]:
-    """Statistics of a text (null: empty), all defined for empty texts."""
-    t = F.coalesce(text, F.lit(""))
-    chars = F.length(t)
-    without = lambda pattern: (chars - F.length(F.regexp_replace(t, pattern, ""))).cast("double")
-    lines, words = F.split(t, "\n"), F.split(t, r"\s+")
-    n = F.greatest(chars, F.lit(1)).cast("double")
-    n_words = F.size(words).cast("double")
-    return {
-        "log_chars": F.log1p(chars.cast("double")),
-        "mean_word": chars / n_words,
-        "letters": without(r"\p{L}+") / n,
-        "capitals": without(r"\p{Lu}+") / n,
-        "digits": without(r"\p{N}+") / n,
-        "marks": without(r"[^\p{L}\p{N}\s.,]+") / n,
-        "stops": without(r"[.]+") / n_words,
-        "bars": without(r"[|]+") / n_words,
-        "line_words": n_words / F.size(lines),
-        "distinct_lines": F.size(F.array_distinct(lines)) / F.size(lines),
-        "distinct_words": F.size(F.array_distinct(words)) / n_words,
-    }
+NAMES = (
+    "log_chars", "mean_word", "letters", "capitals", "digits", "marks", "stops", "bars", "line_words", "distinct_lines", "distinct_words",
+)
+
+
+def with_statistics(df: DataFrame, text_col: str) -> DataFrame:
+    """(row, s): the rows as structs, and the statistics of their texts (null: empty) as a struct.
+
+    Defined for empty texts.  What several statistics share is a column of an earlier step, so
+    it is computed once.  Letters, then digits, are taken out of the text; the other marks are
+    counted in what is left.
+    """
+    t = F.coalesce(F.col(text_col), F.lit(""))
+    row = df.select(F.struct("*").alias("row"), t.alias("t"))
+    cut = row.select(
+        "row",
+        F.length("t").alias("chars"),
+        F.length(F.regexp_replace("t", r"\p{Lu}+", "")).alias("no_capitals"),
+        F.regexp_replace("t", r"\p{L}+", "").alias("no_letters"),
+        F.split("t", "\n").alias("lines"),
+        F.split("t", r"\s+").alias("words"),
+    )
+    cut = cut.select("*", F.regexp_replace("no_letters", r"\p{N}+", "").alias("rest"))
+    cut = cut.select("*", F.regexp_replace("rest", r"[\s.,]+", "").alias("marks"))
+    n = F.greatest("chars", F.lit(1)).cast("double")
+    words, lines = F.size("words").cast("double"), F.size("lines").cast("double")
+    of = lambda c, mark: F.length(c) - F.length(F.replace(F.col(c), F.lit(mark), F.lit("")))
+    values = (
+        F.log1p(F.col("chars").cast("double")),
+        F.col("chars") / words,
+        (F.col("chars") - F.length("no_letters")) / n,
+        (F.col("chars") - F.col("no_capitals")) / n,
+        (F.length("no_letters") - F.length("rest")) / n,
+        F.length("marks") / n,
+        of("rest", ".") / words,
+        of("marks", "|") / words,
+        words / lines,
+        F.size(F.array_distinct("lines")) / lines,
+        F.size(F.array_distinct("words")) / words,
+    )
+    return cut.select("row", F.struct(*[v.alias(k) for k, v in zip(NAMES, values, strict=True)]).alias("s"))
 
 
 @dataclass
@@ -53,21 +73,16 @@ class RuleModel:
     rules: list[tuple[tuple[Condition, ...], float]]
     intercept: float
 
-    def score(self, stats: dict[str, Column]) -> Column:
-        """The probability of label 1 as a column expression over ``stats``."""
-        bound = F.array(F.struct(*[c.alias(k) for k, c in stats.items()]))
-
-        def one(s: Column) -> Column:
-            total = F.lit(float(self.intercept))
-            for rule, weight in self.rules:
-                holds = F.lit(True)
-                for name, above, cut in rule:
-                    holds = holds & ((s[name] > cut) if above else (s[name] <= cut))
-                total = total + F.when(holds, F.lit(float(weight))).otherwise(F.lit(0.0))
-            return F.lit(1.0) / (F.lit(1.0) + F.exp(-total))
-
-        # the one-element array evaluates each statistic once, however many rules use it
-        return F.element_at(F.transform(bound, one), 1)
+    def score(self, stats: str = "s") -> Column:
+        """The probability of label 1 as a column expression over the struct ``stats``."""
+        total = F.lit(float(self.intercept))
+        for rule, weight in self.rules:
+            holds = F.lit(True)
+            for name, above, cut in rule:
+                value = F.col(f"{stats}.{name}")
+                holds = holds & ((value > cut) if above else (value <= cut))
+            total = total + F.when(holds, F.lit(float(weight))).otherwise(F.lit(0.0))
+        return F.lit(1.0) / (F.lit(1.0) + F.exp(-total))
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
@@ -170,28 +185,31 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
           label_col: str = "quality", sample_rows: int = 20_000, **options) -> RuleModel:
     """Fits on at most ``sample_rows`` labelled documents outside the held-out fold."""
     sample = labelled_sample(docs, labels, label_col, FOLDS, HELD_OUT, sample_rows, id_col, text_col)
-    stats = statistics(F.col("text"))
-    rows = sample.select("doc_id", "label", *[c.alias(k) for k, c in stats.items()]).toArrow().sort_by("doc_id")
-    x = np.column_stack([rows.column(k).to_numpy() for k in stats]) if len(rows) else np.zeros((0, len(stats)))
-    return fit(x, rows.column("label").to_numpy().astype(float), list(stats), **options)
+    rows = with_statistics(sample, "text").select("row.doc_id", "row.label", "s.*").toArrow().sort_by("doc_id")
+    x = np.column_stack([rows.column(k).to_numpy() for k in NAMES]) if len(rows) else np.zeros((0, len(NAMES)))
+    return fit(x, rows.column("label").to_numpy().astype(float), list(NAMES), **options)
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """One row per input row: doc_id, held_out, score, predicted.
 
-    Null and empty texts are scored like any text by their statistics.  A null id is never
-    held out.  Repeated rows come back repeated.  Without labelled rows every score is 0.5.
+    Null and empty texts are scored like any text by their statistics, texts of any length
+    whole.  A null id is never held out.  Repeated rows come back repeated, an empty table gives
+    an empty result, and other columns are not looked at.  Without labelled rows every score
+    is 0.5.
     """
     model = train(docs, labels, id_col, text_col, **options)
-    score = model.score(statistics(F.col(text_col)))
-    return docs.select(
-        F.col(id_col).alias("doc_id"),
-        F.coalesce(fold(F.col(id_col), FOLDS) == HELD_OUT, F.lit(False)).alias("held_out"),
-        score.alias("score"),
+    own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    return with_statistics(own, "text").select(
+        "row.doc_id",
+        F.coalesce(fold(F.col("row.doc_id"), FOLDS) == HELD_OUT, F.lit(False)).alias("held_out"),
+        model.score().alias("score"),
     ).withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` without the rows predicted 0; all columns as they were; no shuffle."""
     model = train(docs, labels, id_col, text_col, **options)
-    return docs.where(model.score(statistics(F.col(text_col))) >= THRESHOLD)
+    # the number keeps the optimiser from pushing the filter below, where it would compute each statistic anew
+    scored = with_statistics(docs, text_col).select("row", model.score().alias("p"), F.monotonically_increasing_id().alias("n"))
+    return scored.where((F.col("p") >= THRESHOLD) & (F.col("n") >= 0)).select("row.*")

@@ -1,9 +1,9 @@
 """Toxicity: a linear classifier of character n-grams scaled by naive Bayes log-count ratios.
 
 Text is folded to lower-case words with single spaces; its distinct 4- and 5-grams are
-hashed into buckets.  Over a bounded labelled sample the log-count ratio of every bucket is
-counted, the buckets with the most evidence are kept, and a logistic regression is fitted
-on their ratios.  Scoring looks up each whole text's distinct kept buckets.
+hashed into buckets.  Over a bounded labelled sample, written once, the log-count ratio of
+every bucket that occurs is counted, and a logistic regression is fitted on all of these.
+Scoring adds up a dense table's weights of each whole text's distinct buckets.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import stash
 from tidemark.llm.decontaminate import words_of
 from tidemark.llm.labelled import fold, labelled_sample
 
@@ -43,20 +44,23 @@ def ngram_buckets(text: bytes | None) -> np.ndarray:
 
 @dataclass
 class NgramModel:
-    """Weights by bucket (zero: not kept) and the intercept."""
+    """Weight of every bucket (zero: not seen in training) and the intercept."""
 
-    buckets: np.ndarray
-    weights: np.ndarray
+    table: np.ndarray
     intercept: float
 
+    @classmethod
+    def constant(cls, p: float) -> NgramModel:
+        return cls(np.zeros(1 << BITS, np.float32), float(np.log(p / (1 - p))))
+
     def scorer(self):
-        table = np.zeros(1 << BITS, np.float32)
-        table[self.buckets] = self.weights
+        seen = np.zeros(1 << BITS, np.int32)
 
         def score(text: bytes | None) -> float:
             found = ngram_buckets(text)
-            found = np.unique(found[table[found] != 0])
-            z = self.intercept + float(table[found].astype(np.float64).sum())
+            place = np.arange(len(found), dtype=np.int32)
+            seen[found] = place  # of equal buckets the last place stays, so each counts once
+            z = self.intercept + float(self.table[found[seen[found] == place]].sum(dtype=np.float64))
             return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
         return score
@@ -78,80 +82,113 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _kept(buckets: np.ndarray):
-    place = np.full(1 << BITS, -1, np.int32)
-    place[buckets] = np.arange(len(buckets), dtype=np.int32)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = []
-            for text in batch.column(2).cast(pa.binary()):
-                at = place[ngram_buckets(text.as_py())]
-                found.append(np.unique(at[at >= 0]))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int32()))], names=["doc_id", "label", "at"]
-            )
+def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = [np.unique(ngram_buckets(text.as_py())).astype(np.int32) for text in batch.column(2).cast(pa.binary())]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int32()))], names=["doc_id", "label", "at"]
+        )
 
-    return run
 
+def lbfgs(loss, w: np.ndarray, rounds: int, memory: int = 8) -> np.ndarray:
+    """Minimises a smooth convex function; ``loss(w)`` gives its value and gradient."""
+    f, g = loss(w)
+    steps: list[tuple[np.ndarray, np.ndarray, float]] = []
+    for _ in range(rounds):
+        d, weights = g.copy(), []
+        for s, y, r in reversed(steps):
+            a = r * float(s @ d)
+            weights.append(a)
+            d -= a * y
+        if steps:
+            s, y, _ = steps[-1]
+            d *= float(s @ y) / float(y @ y)
+        for (s, y, r), a in zip(steps, reversed(weights), strict=True):
+            d += (a - r * float(y @ d)) * s
+        slope = float(g @ d)
+        if slope < 1e-12:
+            break
+        size = 1.0 if steps else min(1.0, 1 / float(np.abs(g).sum()))
+        while True:
+            new = w - size * d
+            f_new, g_new = loss(new)
+            if f_new <= f - 1e-4 * size * slope or size < 1e-8:
+                break
+            size /= 2
+        s, y = new - w, g_new - g
+        if float(s @ y) > 1e-12:
+            steps = [*steps[1 - memory :], (s, y, 1 / float(s @ y))]
+        w, f, g = new, f_new, g_new
+    return w
+
+
+def fit_logistic(
+    flat: np.ndarray, sizes: np.ndarray, y: np.ndarray, ratio: np.ndarray, *, rounds: int = 30, l2: float = 1e-3, chunk: int = 1 << 21
+) -> tuple[np.ndarray, float]:
+    """Weights over NB-scaled binary features on the full sample, and the intercept.
+
+    ``flat`` holds the features of all rows one after the other, ``sizes`` how many each row has.
+    """
+    n, ends = len(y), np.cumsum(sizes)
+    cuts = np.unique(np.searchsorted(ends, np.arange(0, len(flat) + chunk, chunk), side="left").clip(0, n))
+    parts = [(a, b, slice(ends[a] - sizes[a], ends[b - 1])) for a, b in zip(cuts, [*cuts[1:], n], strict=True) if a < b]
+
+    def loss(w: np.ndarray) -> tuple[float, np.ndarray]:
+        scaled, value, g = (w[:-1] * ratio), 0.5 * l2 * float(w[:-1] @ w[:-1]), np.zeros_like(w)
+        for a, b, own in parts:
+            row = np.repeat(np.arange(b - a), sizes[a:b])
+            z = np.bincount(row, scaled[flat[own]], b - a) + w[-1]
+            value += float((np.logaddexp(0, z) - y[a:b] * z).sum()) / n
+            error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[a:b]) / n
+            g[:-1] += np.bincount(flat[own], error[row], len(ratio))
+            g[-1] += error.sum()
+        g[:-1] = g[:-1] * ratio + l2 * w[:-1]
+        return value, g
 
-def fit_logistic(rows: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, *, steps: int = 300, l2: float = 1e-3) -> tuple[np.ndarray, float]:
-    """Weights over NB-scaled binary features by Adam on the full sample, and the intercept."""
-    sizes = np.array([len(r) for r in rows])
-    flat = np.concatenate(rows) if len(rows) else np.zeros(0, np.int32)
-    doc = np.repeat(np.arange(len(rows)), sizes)
-    value = ratio[flat]
     w = np.zeros(len(ratio) + 1)
-    m, v = np.zeros_like(w), np.zeros_like(w)
-    w[-1] = np.log((y.sum() + 1) / (len(y) - y.sum() + 1))
-    for step in range(1, steps + 1):
-        z = np.bincount(doc, value * w[flat], len(rows)) + w[-1]
-        error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / len(y)
-        g = np.append(np.bincount(flat, value * error[doc], len(ratio)), error.sum())
-        g[:-1] += l2 * w[:-1]
-        m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
-        w -= 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
+    w[-1] = np.log((y.sum() + 1) / (n - y.sum() + 1))
+    w = lbfgs(loss, w, rounds)
     return w[:-1], float(w[-1])
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
-          label_col: str = "toxic", sample_rows: int = 8_000, features: int = 2_000) -> NgramModel:
-    """Fits on at most ``sample_rows`` labelled documents outside the held-out fold.
+          label_col: str = "toxic", sample_rows: int = 8_000) -> NgramModel:
+    """Fits on at most ``sample_rows`` labelled documents outside the held-out fold, on all their buckets.
 
-    ``features`` bounds the kept buckets.  With one class or no rows the model is constant.
+    With one class or no rows the model is constant.
     """
-    sample = labelled_sample(docs, labels, label_col, FOLDS, HELD_OUT, sample_rows, id_col, text_col)
+    sample = stash(labelled_sample(docs, labels, label_col, FOLDS, HELD_OUT, sample_rows, id_col, text_col), "sample")
     size = {r.label: r.n for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
     n_pos, n_neg = size.get(1, 0), size.get(0, 0)
     if not n_pos or not n_neg:
-        p = (n_pos + 1) / (n_pos + n_neg + 2)
-        return NgramModel(np.zeros(0, np.int64), np.zeros(0), float(np.log(p / (1 - p))))
-    ratio = F.log((F.col("pos") + 0.5) / (n_pos + 1.0)) - F.log((F.col("neg") + 0.5) / (n_neg + 1.0))
-    expected = (F.col("pos") + F.col("neg")) * (n_pos / (n_pos + n_neg))
-    top = (
+        return NgramModel.constant((n_pos + 1) / (n_pos + n_neg + 2))
+    seen = (
         sample.select("label", "text")
         .mapInArrow(_counts, "bucket long, pos long, neg long")
         .groupBy("bucket")
         .agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-        .where("pos + neg >= 3")
-        .withColumn("ratio", ratio)
-        .withColumn("evidence", F.abs(F.col("pos") - expected) / F.sqrt(expected))
-        .orderBy(F.desc("evidence"), "bucket")
-        .limit(features)
-        .toArrow()
+        .toArrow()  # at most 2**BITS rows
     )
-    buckets, ratios = top.column("bucket").to_numpy(), top.column("ratio").to_numpy()
-    rows = sample.mapInArrow(_kept(buckets), "doc_id long, label int, at array<int>").toArrow().sort_by("doc_id")
-    at = [np.asarray(x, np.int32) for x in rows.column("at").to_pylist()]
-    weights, intercept = fit_logistic(at, rows.column("label").to_numpy().astype(float), ratios)
-    return NgramModel(buckets, weights * ratios, intercept)
+    pos, neg = (seen.column(c).to_numpy().astype(float) for c in ("pos", "neg"))
+    ratio = np.zeros(1 << BITS)
+    ratio[seen.column("bucket").to_numpy()] = np.log((pos + 0.5) / (n_pos + 1.0)) - np.log((neg + 0.5) / (n_neg + 1.0))
+    rows = sample.mapInArrow(_distinct, "doc_id long, label int, at array<int>").toArrow()
+    order = np.argsort(rows.column("doc_id").to_numpy(), kind="stable")
+    rows = rows.take(order).combine_chunks()
+    at = rows.column("at").combine_chunks()
+    at = at.chunk(0) if isinstance(at, pa.ChunkedArray) else at
+    flat, sizes = at.flatten().to_numpy(), np.diff(at.offsets.to_numpy())
+    weights, intercept = fit_logistic(flat, sizes, rows.column("label").to_numpy().astype(float), ratio)
+    return NgramModel((weights * ratio).astype(np.float32), intercept)
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """One row per input row: doc_id, held_out, score, predicted.
 
-    Null and empty texts have no n-grams and get the intercept's score.  A null id is never
-    held out.  Repeated rows come back repeated.  Without labelled rows every score is 0.5.
+    Null and empty texts have no n-grams and get the intercept's score; texts of any length are
+    scored whole.  A null id is
+    never held out.  Repeated rows come back repeated, an empty table gives an empty result,
+    and other columns are not looked at.  Without labelled rows every score is 0.5.
     """
     model = train(docs, labels, id_col, text_col, **options)
 
