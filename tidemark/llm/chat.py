@@ -2,8 +2,10 @@
 
 A state is a role together with whether the line opens a turn or goes on with one.  Each
 line shows a marker (a known speaker word, an unknown name, or none) and whether it asks a
-question.  Viterbi gives the most likely states of all lines together, so a missing or
-unfamiliar marker is read from the turns around it.  Turns are then rendered in one form.
+question.  The model's probabilities are counted over turns of known roles, on top of the
+prior counts below; without such turns the prior alone holds.  Viterbi gives the most likely
+states of all lines together, so a missing or unfamiliar marker is read from the turns around
+it.  Turns are then rendered in one form.
 
 Long conversations are read in segments and decoded as wholes: every segment gives the best
 score between each pair of its first and last states, one stream a conversation carries the
@@ -16,10 +18,12 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
@@ -42,16 +46,18 @@ _KNOWN = re.compile(
 )
 _NAMED = re.compile(r"\s*([^\W\d_a-z][\w.'-]{0,23}):(?:\s+|$)")
 
-# P(marker | state), columns: system, user, assistant, a name, none.
+# The prior: counts of a marker in a state, columns: system, user, assistant, a name, none.
 _OPENS = 0.9 * np.eye(3) + 0.002
 _MARKER_OPEN = np.column_stack([_OPENS * [[0.9], [0.75], [0.75]], [0.03, 0.2, 0.2], [0.07, 0.05, 0.05]])
 _MARKER_ON = np.array([[0.001, 0.001, 0.001, 0.01, 0.987]] * 3)
-# P(the line ends in a question mark | role)
+# of lines that end in a question mark, by role
 _ASKS = np.array([0.02, 0.3, 0.1])
-# P(role of the next turn | role), P(role of the first turn), P(a line goes on with its turn)
+# of the next turn's role by role, of the first turn's role, of lines that go on with a turn
 _NEXT = np.array([[0.01, 0.94, 0.05], [0.01, 0.02, 0.97], [0.01, 0.97, 0.02]])
 _FIRST = np.array([0.3, 0.65, 0.05])
 _GOES_ON = 0.6
+#: How many observations of each distribution the prior stands for.
+PRIOR = 20.0
 
 
 def _log(p: np.ndarray) -> np.ndarray:
@@ -59,21 +65,36 @@ def _log(p: np.ndarray) -> np.ndarray:
         return np.round(np.log(p) * 2**20) / 2**20
 
 
-def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Log first, log moves, log markers; states 0..2 open a turn of a role, 3..5 go on with it."""
-    move = np.zeros((6, 6))
-    for r in range(3):
-        for state in (r, r + 3):
-            move[state, :3] = (1 - _GOES_ON) * _NEXT[r]
-            move[state, r + 3] = _GOES_ON
-    first = np.concatenate([_FIRST, np.zeros(3)])
-    marker = np.vstack([_MARKER_OPEN, _MARKER_ON])
-    marker = marker / marker.sum(axis=1, keepdims=True)
-    return _log(first), _log(move), _log(marker)
+@dataclass(frozen=True)
+class Hmm:
+    """Log first, log moves, log markers, log asks and asks not; states 0..2 open a turn of a role, 3..5 go on with it."""
 
+    first: np.ndarray
+    moves: np.ndarray
+    markers: np.ndarray
+    ask: np.ndarray
+    ask_not: np.ndarray
 
-FIRST, MOVES, MARKERS = _tables()
-_ASK, _ASK_NOT = np.tile(_log(_ASKS), 2), np.tile(_log(1 - _ASKS), 2)
+    @classmethod
+    def of_counts(cls, first: np.ndarray, following: np.ndarray, lines: np.ndarray) -> Hmm:
+        """From counts: roles of first turns, (role, next role), and (state, marker, asks) of lines."""
+        share = lambda prior, n: (PRIOR * prior + n) / (PRIOR * prior + n).sum(axis=-1, keepdims=True)
+        marker = np.vstack([_MARKER_OPEN, _MARKER_ON])
+        marker = share(marker / marker.sum(axis=1, keepdims=True), lines.sum(axis=2))
+        ask = share(np.stack([1 - _ASKS, _ASKS], axis=1), lines.sum(axis=1).reshape(2, 3, 2).sum(axis=0))
+        by_state = lines.sum(axis=(1, 2))
+        on = share(np.array([[1 - _GOES_ON, _GOES_ON]] * 3), np.stack([by_state[:3], by_state[3:]], axis=1))[:, 1]
+        follows = share(_NEXT, following)
+        move = np.zeros((6, 6))
+        for r in range(3):
+            for state in (r, r + 3):
+                move[state, :3] = (1 - on[r]) * follows[r]
+                move[state, r + 3] = on[r]
+        start = np.concatenate([share(_FIRST, first), np.zeros(3)])
+        return cls(_log(start), _log(move), _log(marker), np.tile(_log(ask[:, 1]), 2), np.tile(_log(ask[:, 0]), 2))
+
+
+UNTRAINED = Hmm.of_counts(np.zeros(3), np.zeros((3, 3)), np.zeros((6, 5, 2)))
 
 
 def read_line(line: str) -> tuple[int, int, bool]:
@@ -87,24 +108,24 @@ def read_line(line: str) -> tuple[int, int, bool]:
     return (3, named.end(), asks) if named else (4, 0, asks)
 
 
-def emissions(lines: list[tuple[int, int, bool]]) -> np.ndarray:
+def emissions(lines: list[tuple[int, int, bool]], hmm: Hmm = UNTRAINED) -> np.ndarray:
     """Log-likelihood of each line in each state."""
-    marker = MARKERS[:, [m for m, _, _ in lines]].T
+    marker = hmm.markers[:, [m for m, _, _ in lines]].T
     ask = np.array([a for _, _, a in lines])[:, None]
-    return marker + np.where(ask, _ASK, _ASK_NOT)
+    return marker + np.where(ask, hmm.ask, hmm.ask_not)
 
 
-def _forward(e: np.ndarray, before: np.ndarray | None = None) -> tuple[np.ndarray, list[np.ndarray]]:
+def _forward(e: np.ndarray, hmm: Hmm, before: np.ndarray | None = None) -> tuple[np.ndarray, list[np.ndarray]]:
     """The last line's scores, and for each line the best state before each of its own.
 
     ``before`` are the scores of a line before the first; without them a conversation begins.
     """
     if before is None:
-        score, back, rest = FIRST + e[0], [], e[1:]
+        score, back, rest = hmm.first + e[0], [], e[1:]
     else:
         score, back, rest = before, [], e
     for row in rest:
-        both = score[:, None] + MOVES
+        both = score[:, None] + hmm.moves
         back.append(both.argmax(axis=0))
         score = both.max(axis=0) + row
     return score, back
@@ -117,27 +138,31 @@ def _back(back: list[np.ndarray], last: int) -> np.ndarray:
     return np.array(path[::-1])
 
 
-def viterbi(e: np.ndarray) -> np.ndarray:
+def viterbi(e: np.ndarray, hmm: Hmm = UNTRAINED) -> np.ndarray:
     """The most likely states of a sequence of emissions."""
-    score, back = _forward(e)
+    score, back = _forward(e, hmm)
     return _back(back, int(score.argmax()))
 
 
-def _between(e: np.ndarray) -> np.ndarray:
+def _between(e: np.ndarray, hmm: Hmm) -> np.ndarray:
     """The best score of a sequence by its first and its last state."""
     score = np.where(np.eye(6, dtype=bool), e[0], -np.inf)
     for row in e[1:]:
-        score = (score[:, :, None] + MOVES).max(axis=1) + row
+        score = (score[:, :, None] + hmm.moves).max(axis=1) + row
     return score
 
 
-def parse_transcript(text: str | None) -> list[tuple[str, str]]:
-    """The turns (role, text) of a transcript.  Blank transcripts have none."""
+def parse_transcript(text: str | None, hmm: Hmm = UNTRAINED) -> list[tuple[str, str]]:
+    """The turns (role, text) of a transcript.  Blank transcripts have none.
+
+    White space around a turn's text is left off.  A line of a turn that reads like a known
+    speaker's marker (``A: ...``) may be taken for one: nothing in the text tells them apart.
+    """
     lines = (text or "").split("\n")
     if not any(line.strip() for line in lines):
         return []
     read = [read_line(line) for line in lines]
-    return _turns(lines, read, viterbi(emissions(read)))
+    return _turns(lines, read, viterbi(emissions(read, hmm), hmm))
 
 
 def _turns(lines: list[str], read: list[tuple[int, int, bool]], states: np.ndarray, tail: str | None = None) -> list[tuple[str, str]]:
@@ -154,19 +179,38 @@ def _turns(lines: list[str], read: list[tuple[int, int, bool]], states: np.ndarr
 
 
 def render(turns: list[tuple[str, str]]) -> str:
-    """The canonical form: each turn between ``<|im_start|>role`` and ``<|im_end|>``."""
-    return "".join(f"<|im_start|>{role}\n{text}<|im_end|>\n" for role, text in turns)
+    """The canonical form: each turn between ``<|im_start|>role`` and ``<|im_end|>``.
+
+    Where a text has such a mark itself, a backslash goes before its last bar, and one more
+    before those already there, so a text can never open or close a turn; :func:`unescaped`
+    undoes it.
+    """
+    return "".join(f"<|im_start|>{role}\n{_MARK.sub(_escaped, text)}<|im_end|>\n" for role, text in turns)
+
+
+_MARK = re.compile(r"<\|im_(start|end)(\\*)\|>")
 
 
-def format_transcripts(transcripts: DataFrame, id_cols: list[str], text_col: str = "transcript") -> DataFrame:
+def _escaped(m: re.Match) -> str:
+    return f"<|im_{m[1]}{m[2]}\\|>"
+
+
+def unescaped(text: str) -> str:
+    """The text of a turn as it was before :func:`render`."""
+    return re.sub(r"<\|im_(start|end)(\\*)\\\|>", r"<|im_\1\2|>", text)
+
+
+def format_transcripts(transcripts: DataFrame, id_cols: list[str], text_col: str = "transcript", hmm: Hmm = UNTRAINED) -> DataFrame:
     """One row per transcript: the id columns, n_turns, roles, turns, rendered.
 
-    Null, empty and blank transcripts have no turns and render as the empty string.
+    Null, empty and blank transcripts have no turns and render as the empty string; texts of
+    any length are read whole.  Repeated rows come back repeated, null ids stay null, an empty
+    table gives an empty result, and other columns are not looked at.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield _formatted(batch, id_cols, [parse_transcript(t) for t in batch.column(len(id_cols)).to_pylist()])
+            yield _formatted(batch, id_cols, [parse_transcript(t, hmm) for t in batch.column(len(id_cols)).to_pylist()])
 
     own = transcripts.select(*id_cols, text_col)
     return own.mapInArrow(run, f"{_declared(own, id_cols)}, {_FORMATTED}")
@@ -202,6 +246,51 @@ STYLES = (
 )
 
 
+def _raw_turns(turns: DataFrame, *more: Column) -> DataFrame:
+    """Each distinct turn behind its marker: conv_id, turn, role, raw, and more columns."""
+    style = F.pmod(F.xxhash64("conv_id"), F.lit(len(STYLES)))
+    marker = F.lit("")
+    for i, markers in enumerate(STYLES):
+        for role, shown in markers.items():
+            marker = F.when((style == i) & (F.col("role") == role), shown).otherwise(marker)
+    raw = F.concat(marker, F.coalesce("text", F.lit(""))).alias("raw")
+    return turns.select("conv_id", *more, "turn", "role", raw).distinct()
+
+
+def _line_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    counts = np.zeros((6, 5, 2), np.int64)
+    for batch in batches:
+        for role, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for i, line in enumerate(raw.split("\n")):
+                marker, _, asks = read_line(line)
+                counts[ROLES.index(role) + 3 * (i > 0), marker, int(asks)] += 1
+    at = np.nonzero(counts)
+    columns = [*(pa.array(a, pa.int64()) for a in at), pa.array(counts[at], pa.int64())]
+    yield pa.RecordBatch.from_arrays(columns, names=["state", "marker", "asks", "n"])
+
+
+def train(turns: DataFrame) -> Hmm:
+    """The model of conversations (conv_id, turn, role, text) as raw text, counted over all of their turns.
+
+    Turns of unknown roles and such without a conversation or number are left out.  A turn
+    follows the one of the number before; one without such a predecessor is a first turn.
+    Counts are summed before they are shuffled; at most 72 numbers come to the driver.
+    """
+    known = _raw_turns(turns).where(F.col("role").isin(*ROLES) & F.col("conv_id").isNotNull() & F.col("turn").isNotNull())
+    lines, first, following = np.zeros((6, 5, 2)), np.zeros(3), np.zeros((3, 3))
+    counted = known.select("role", "raw").mapInArrow(_line_counts, "state long, marker long, asks long, n long")
+    for r in counted.groupBy("state", "marker", "asks").agg(F.sum("n").alias("n")).collect():
+        lines[r.state, r.marker, r.asks] = r.n
+    roles = known.select("conv_id", "turn", "role").distinct()
+    before = roles.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("role").alias("before"))
+    for r in roles.join(before, ["conv_id", "turn"], "left").groupBy("before", "role").count().collect():
+        if r.before is None:
+            first[ROLES.index(r.role)] = r["count"]
+        else:
+            following[ROLES.index(r.before), ROLES.index(r.role)] = r["count"]
+    return Hmm.of_counts(first, following, lines)
+
+
 def raw_transcripts(turns: DataFrame, *, segment_turns: int = 64) -> DataFrame:
     """(conv_id, segment, transcript): conversations as raw text, in one of STYLES by conv_id.
 
@@ -211,18 +300,8 @@ def raw_transcripts(turns: DataFrame, *, segment_turns: int = 64) -> DataFrame:
     conversation or number is a transcript of its own (segment null).  A null text is empty
     and a null or unknown role gets no marker.
     """
-    style = F.pmod(F.xxhash64("conv_id"), F.lit(len(STYLES)))
-    marker = F.lit("")
-    for i, markers in enumerate(STYLES):
-        for role, shown in markers.items():
-            marker = F.when((style == i) & (F.col("role") == role), shown).otherwise(marker)
-    rows = turns.select(
-        "conv_id",
-        F.when(F.col("conv_id").isNotNull(), F.floor(F.col("turn") / segment_turns)).alias("segment"),
-        "turn",
-        "role",
-        F.concat(marker, F.coalesce("text", F.lit(""))).alias("raw"),
-    ).distinct()
+    segment = F.when(F.col("conv_id").isNotNull(), F.floor(F.col("turn") / segment_turns)).alias("segment")
+    rows = _raw_turns(turns, segment)
     whole = (
         rows.where("segment is not null")
         .groupBy("conv_id", "segment")
@@ -244,11 +323,11 @@ def _packed(lines: list[tuple[int, int, bool]]) -> bytes:
     return bytes(m + 8 * a for m, _, a in lines)
 
 
-def _unpacked(codes: bytes) -> np.ndarray:
-    return emissions([(c & 7, 0, c >= 8) for c in codes])
+def _unpacked(codes: bytes, hmm: Hmm) -> np.ndarray:
+    return emissions([(c & 7, 0, c >= 8) for c in codes], hmm)
 
 
-def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _scan(hmm: Hmm, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of each segment: its lines as one byte each, best scores between its ends, whether it is blank."""
     for batch in batches:
         texts = batch.column(2).to_pylist()
@@ -256,12 +335,12 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _kept(
             batch,
             codes=pa.array(codes, pa.binary()),
-            between=pa.array([_between(_unpacked(c)).ravel() for c in codes], pa.list_(pa.float64())),
+            between=pa.array([_between(_unpacked(c, hmm), hmm).ravel() for c in codes], pa.list_(pa.float64())),
             blank=pa.array([not t.strip() for t in texts], pa.bool_()),
         )
 
 
-def _carry_forward(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _carry_forward(hmm: Hmm, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Segments in order: the scores before each (null at a conversation's start), and its best last state."""
     conv, score = None, None
     for batch in batches:
@@ -270,7 +349,7 @@ def _carry_forward(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             if own != conv:
                 conv, score = own, None
             before.append(score)
-            entry = FIRST if score is None else (score[:, None] + MOVES).max(axis=0)
+            entry = hmm.first if score is None else (score[:, None] + hmm.moves).max(axis=0)
             score = (entry[:, None] + np.array(between).reshape(6, 6)).max(axis=0)
             last.append(int(score.argmax()))
             score = score - score.max()
@@ -283,12 +362,12 @@ def _carry_forward(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         )
 
 
-def _exits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _exits(hmm: Hmm, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For each last state of a segment: the state before the segment and how many lines go on from there."""
     for batch in batches:
         entries, leads, lines = [], [], []
         for codes, before in zip(batch.column(2).to_pylist(), batch.column(4).to_pylist(), strict=True):
-            _, back = _forward(_unpacked(codes), None if before is None else np.array(before))
+            _, back = _forward(_unpacked(codes, hmm), hmm, None if before is None else np.array(before))
             paths = [_back(back, s) for s in range(6)]
             own = paths if before is None else [p[1:] for p in paths]
             entries.append([int(p[0]) for p in paths])
@@ -335,7 +414,7 @@ def _carry_back(types: list[pa.DataType]):
     return run
 
 
-def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _decode(hmm: Hmm, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         parsed = []
         for text, before, last, lead, blank, tail in zip(*(c.to_pylist() for c in batch.columns[2:]), strict=True):
@@ -344,37 +423,40 @@ def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if blank or lead == len(lines):
                 parsed.append([])
                 continue
-            _, back = _forward(emissions(read), None if before is None else np.array(before))
+            _, back = _forward(emissions(read, hmm), hmm, None if before is None else np.array(before))
             states = _back(back, last)[-len(lines) :]
             parsed.append(_turns(lines[lead:], read[lead:], states[lead:], tail))
         yield _formatted(batch, _KEYS, parsed)
 
 
-def format_conversations(turns: DataFrame, *, segment_turns: int = 64) -> DataFrame:
+def format_conversations(turns: DataFrame, *, segment_turns: int = 64, hmm: Hmm | None = None) -> DataFrame:
     """Rows of :func:`raw_transcripts` as by :func:`format_transcripts`, conversations decoded as wholes.
 
     One row per conversation and segment: conv_id, segment, n_turns, roles, turns, rendered.
     In the order of segments these make what the whole conversation gives as one transcript.
     A turn is in the segment where it opens; lines of later segments that go on with it
-    move there.  Only conversations of several segments take more than the one pass.
+    move there.  Only conversations of several segments take more than the one pass.  Without
+    ``hmm`` the model is trained on the same turns.  Nulls, repeated rows and ties are as in
+    :func:`raw_transcripts`; an empty table gives an empty result.
     """
+    hmm = train(turns) if hmm is None else hmm
     raw = raw_transcripts(turns, segment_turns=segment_turns)
     ends = turns.where("conv_id is not null").groupBy("conv_id").agg(F.min("turn").alias("lo"), F.max("turn").alias("hi"))
     several = F.floor(F.col("lo") / segment_turns) < F.floor(F.col("hi") / segment_turns)
     long = stash(ends.where(several).select("conv_id", F.lit(True).alias("long")), "long")
     if long.isEmpty():
-        return format_transcripts(raw, _KEYS)
+        return format_transcripts(raw, _KEYS, hmm=hmm)
     tagged = stash(raw.join(long, "conv_id", "left"), "segments")
     whole = tagged.where("long and segment is not null").drop("long")
     keys = _declared(whole, _KEYS)
     scanned = whole.select(*_KEYS, "transcript").mapInArrow(
-        _scan, f"{keys}, codes binary, between array<double>, blank boolean"
+        partial(_scan, hmm), f"{keys}, codes binary, between array<double>, blank boolean"
     )
     carried = scanned.repartition("conv_id").sortWithinPartitions(*_KEYS).mapInArrow(
-        _carry_forward, f"{keys}, codes binary, blank boolean, before array<double>, last int"
+        partial(_carry_forward, hmm), f"{keys}, codes binary, blank boolean, before array<double>, last int"
     )
     exits = carried.repartition(*_KEYS).mapInArrow(
-        _exits, f"{keys}, blank boolean, before array<double>, last int, entries array<int>, leads array<int>, lines long"
+        partial(_exits, hmm), f"{keys}, blank boolean, before array<double>, last int, entries array<int>, leads array<int>, lines long"
     )
     segment = whole.schema["segment"].dataType.simpleString()
     found = stash(
@@ -401,7 +483,7 @@ def format_conversations(turns: DataFrame, *, segment_turns: int = 64) -> DataFr
         whole.join(found, _KEYS)
         .join(leads, _KEYS, "left")
         .select(*_KEYS, "transcript", "before", "last", "lead", "blank", "tail")
-        .mapInArrow(_decode, f"{keys}, {_FORMATTED}")
+        .mapInArrow(partial(_decode, hmm), f"{keys}, {_FORMATTED}")
     )
     alone = tagged.where("long is null or segment is null")
-    return format_transcripts(alone, _KEYS).unionByName(decoded)
+    return format_transcripts(alone, _KEYS, hmm=hmm).unionByName(decoded)
