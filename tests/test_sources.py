@@ -6,8 +6,10 @@ import pytest
 from tidemark.config import load_settings
 from tidemark.errors import ConfigError, MissingFeedError
 from tidemark.sources.feeds import classified, read_feed
+from tidemark.sources.generate import FeedMaker, generate
+from tidemark.sources.generate import main as generator
 from tidemark.sources.profile import source_profile
-from tidemark.specs import CLAIMS, CUSTOMERS, ENTITIES, POLICIES, FeedSpec
+from tidemark.specs import CLAIMS, ENTITIES, FeedSpec
 from tidemark.streaming.landing import stream_landing
 
 FEED = FeedSpec("things", "things.csv", "csv", ("id", "a", "b"), "id")
@@ -62,21 +64,37 @@ def test_profile_counts_and_totals(spark, tmp_path):
 
 
 def test_generated_feeds_hold_the_planted_defects(feeds, spark):
-    root, counts = feeds
-    assert counts[1]["claims"] == 40 + 16 and counts[2]["claims"] == 50 + 16
-    for entity, want in ((CUSTOMERS, {"NULL_KEY": 1}), (POLICIES, {"NULL_KEY": 1, "MALFORMED_RECORD": 1}), (CLAIMS, {"NULL_KEY": 3, "MALFORMED_RECORD": 1})):
+    root, plans = feeds
+    for entity in ENTITIES:
+        name = entity.feed.entity
         codes = Counter(r.reason_code for r in landed(spark, root, entity.feed))
-        del codes[None]
-        assert codes == want
+        assert codes.total() == plans[1].lines[name]
+        want = {c: n for c, n in plans[1].planted[name].items() if c in ("MALFORMED_RECORD", "NULL_KEY")}
+        assert {c: n for c, n in codes.items() if c} == want
+
+
+def test_feeds_are_the_same_whenever_they_are_made(tmp_path):
+    """A later batch can be made alone, and equals the one made after the others."""
+    generate(str(tmp_path / "all"), seed=5, customers=60, claims=10, batches=3)
+    FeedMaker(5, 60, 10).write_batch(str(tmp_path / "one"), 3)
+    for feed in ("customers.csv", "policies.json", "claims.csv"):
+        assert (tmp_path / "all/batch_3" / feed).read_text() == (tmp_path / "one/batch_3" / feed).read_text()
+    generate(str(tmp_path / "other"), seed=6, customers=60, claims=10, batches=1)
+    assert (tmp_path / "all/batch_1/claims.csv").read_text() != (tmp_path / "other/batch_1/claims.csv").read_text()
+
+
+def test_generator_command_line(tmp_path, capsys):
+    assert generator(["--raw-root", str(tmp_path), "--customers", "20", "--claims", "5", "--batches", "1"]) == 0
+    assert "batch 1: customers 23" in capsys.readouterr().out and (tmp_path / "batch_1" / "claims.csv").exists()
 
 
 def test_stream_lands_each_file_once(spark, feeds, tmp_path):
-    root, counts = feeds
+    root, plans = feeds
     out, mark = str(tmp_path / "out"), str(tmp_path / "mark")
     for _ in range(2):  # the second run finds nothing new
         stream_landing(spark, root, CLAIMS.feed, out, mark).awaitTermination()
     bronze, rejects = spark.read.parquet(f"{out}/bronze/claims"), spark.read.parquet(f"{out}/rejects/claims")
-    assert rejects.count() == 8 and bronze.count() + rejects.count() == counts[1]["claims"] + counts[2]["claims"]
+    assert rejects.count() == 8 and bronze.count() + rejects.count() == plans[1].lines["claims"] + plans[2].lines["claims"]
     assert {r.batch_id for r in bronze.select("batch_id").distinct().collect()} == {1, 2}
 
 

@@ -8,15 +8,17 @@ from __future__ import annotations
 
 import argparse
 import logging
+import re
 import sys
 from pathlib import Path
 
 from tidemark import logs
 from tidemark.config import load_settings
-from tidemark.errors import GateClosedError, ReconciliationError, TidemarkError
+from tidemark.errors import GateClosedError, MissingFeedError, ReconciliationError, TidemarkError
 from tidemark.plans.pipeline import run_batch, summary
 from tidemark.plans.tables import TableStore
 from tidemark.session import build_session
+from tidemark.sources.files import Files
 from tidemark.sources.generate import generate
 
 log = logging.getLogger("tidemark.cli")
@@ -36,6 +38,14 @@ def _batches(text: str) -> list[int] | None:
     return [int(text)]
 
 
+def batches_in(files: Files, raw_root: str) -> list[int]:
+    """The batches below a raw root in any store; one without any is refused."""
+    found = sorted(int(n.removeprefix("batch_")) for n in files.names(raw_root) if re.fullmatch("batch_[0-9]+", n))
+    if not found:
+        raise MissingFeedError(f"no batch below {raw_root}")
+    return found
+
+
 def main(argv: list[str] | None = None) -> int:
     parser = _Parser(prog="tidemark", description=__doc__)
     parser.add_argument("--batch", required=True, type=_batches, metavar="N|all")
@@ -49,13 +59,12 @@ def main(argv: list[str] | None = None) -> int:
     logs.setup(args.log_level)
     try:
         settings = load_settings(args.config, rules_path=args.rules, raw_root=args.raw_root, lakehouse_root=args.lakehouse_root)
-        raw = Path(settings.raw_root.removeprefix("file://"))
-        if "://" not in settings.raw_root and not (raw / "batch_1").exists():
+        if "://" not in settings.raw_root and not (Path(settings.raw_root) / "batch_1").exists():
             generate(settings.raw_root, settings.seed)
         spark = build_session(master=settings.master, shuffle_partitions=settings.shuffle_partitions)
         if args.reset:
             TableStore(spark, settings.lakehouse_root).reset()
-        wanted = args.batch or sorted(int(p.name.removeprefix("batch_")) for p in raw.glob("batch_*"))
+        wanted = args.batch or batches_in(Files(spark), settings.raw_root)
         for batch in wanted:
             print(summary(run_batch(spark, settings, batch)))
         kpi = TableStore(spark, settings.lakehouse_root).table("gold.kpi_loss_ratio_monthly")

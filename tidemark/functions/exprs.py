@@ -37,7 +37,9 @@ def conformed(raw: Column, kind: str) -> Column:
 
 
 def fingerprint(columns: Sequence[str]) -> Column:
-    """SHA-256 of the columns in the given order, nulls told apart from empty text."""
+    """Fixed value: the formula of the hash contract, which other writers of the tables share.
+
+    SHA-256 of the columns in the given order, nulls told apart from empty text."""
     return F.sha2(F.concat_ws("||", *[F.coalesce(F.col(c).cast("string"), F.lit("<null>")) for c in columns]), 256)
 
 
@@ -46,10 +48,15 @@ def date_key(day: Column) -> Column:
     return (F.year(day) * 10000 + F.month(day) * 100 + F.dayofmonth(day)).cast("int")
 
 
+# The first age of each band but the youngest, and the bands' names.
+AGE_BANDS = ((60, "60+"), (45, "45-59"), (30, "30-44"), (0, "18-29"))
+
+
 def age_band(born: Column, as_of: Column) -> Column:
     """Band of the full years from ``born`` to ``as_of``; null for no birth date."""
     years = F.floor(F.months_between(as_of, born) / 12)
-    return F.when(years < 30, "18-29").when(years < 45, "30-44").when(years < 60, "45-59").when(years >= 60, "60+")
+    least = AGE_BANDS[-1][1]  # the youngest band is open below
+    return F.when(years.isNotNull(), F.coalesce(*[F.when(years >= low, name) for low, name in AGE_BANDS], F.lit(least)))
 
 
 def surrogate(*keys: Column) -> Column:

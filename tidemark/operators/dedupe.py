@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 RANK = "__rank"
+# Fixed value: the reason code of rows that a newer one replaces.
+SUPERSEDED = "DUPLICATE_KEY"
 
 
 def ranked_latest(
@@ -29,9 +31,7 @@ def latest(df: DataFrame, keys: Sequence[str], newest: Sequence[str], **order) -
 
 
 def split_latest(df: DataFrame, keys: Sequence[str], newest: Sequence[str], **order) -> tuple[DataFrame, DataFrame]:
-    """(newest row per key, the others with reason DUPLICATE_KEY); persist ``df`` if both are used."""
+    """(newest row per key, the superseded rows with their reason); persist ``df`` if both are used."""
     ranked = ranked_latest(df, keys, newest, **order)
-    return (
-        ranked.where(F.col(RANK) == 1).drop(RANK),
-        ranked.where(F.col(RANK) > 1).drop(RANK).withColumn("reason_code", F.lit("DUPLICATE_KEY")),
-    )
+    won = F.col(RANK) == 1
+    return ranked.where(won).drop(RANK), ranked.where(~won).withColumn(RANK, F.lit(SUPERSEDED)).withColumnRenamed(RANK, "reason_code")

@@ -2,19 +2,34 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def as_of_join(events: DataFrame, versions: DataFrame, key: str, at: Column) -> DataFrame:
-    """Left join to the version of ``key`` with effective_from <= at < effective_to.
+    """(e, v): each event as a struct, and the version of ``key`` with effective_from <= at < effective_to, or null.
 
-    ``at`` is an expression over alias ``e``; the result has aliases ``e`` and ``v``.  An
-    equi-join on the key with a range condition on top, so it is broadcast or hashed as the
-    sizes suggest, and a hot key is dealt out by AQE.
+    ``at`` is an expression over ``e``.  The versions of a key must not overlap.  Events and
+    versions are sorted together by key and time, and each event takes the last version before
+    it: linear however many events and versions a key has, where a join would try all pairs of
+    the key.  Events without a key or a time have no version and are not sorted.
     """
-    in_force = (at >= F.col("v.effective_from")) & (at < F.col("v.effective_to"))
-    return events.alias("e").join(versions.alias("v"), (F.col(f"e.{key}") == F.col(f"v.{key}")) & in_force, "left")
+    moment = versions.schema["effective_from"].dataType
+    asked = events.select(F.struct("*").alias("e")).select("e", F.col(f"e.{key}").alias("k"), at.cast(moment).alias("t"))
+    none = F.lit(None).cast(versions.select(F.struct("*").alias("v")).schema["v"].dataType)
+    sought = asked.where("k is not null and t is not null").withColumn("v", none)
+    held = versions.select(F.struct("*").alias("v")).select(
+        F.lit(None).cast(asked.schema["e"].dataType).alias("e"),
+        F.col(f"v.{key}").alias("k"),
+        F.col("v.effective_from").alias("t"),
+        "v",
+    )
+    # a version sorts before events of its own time, an empty one before the one that replaces it
+    order = Window.partitionBy("k").orderBy("t", F.col("e").isNotNull(), "v.effective_to")
+    last = F.last("v", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    found = sought.unionByName(held.where("k is not null")).withColumn("last", last).where("e is not null")
+    matched = found.select("e", F.when(F.col("t") < F.col("last.effective_to"), F.col("last")).alias("v"))
+    return matched.unionByName(asked.where("k is null or t is null").select("e", none.alias("v")))
 
 
 def in_force_by_month(versions: DataFrame, months: DataFrame, start: str, end: str) -> DataFrame:

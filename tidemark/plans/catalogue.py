@@ -6,6 +6,8 @@ for claims and events for a change log; defects are derived by fixed expressions
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,12 +15,16 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.exprs import blank, conformed, fingerprint, first_failing, unusable
 from tidemark.operators import rules as dq
+from tidemark.operators.conform import TYPED, accepted_columns, judged, typed, with_references
 from tidemark.operators.dedupe import latest, ranked_latest, split_latest
-from tidemark.operators.history import apply_history
+from tidemark.operators.history import apply_history, newer_than
+from tidemark.operators.quarantine import to_rejects
 from tidemark.operators.temporal import as_of_join, in_force_by_month
 from tidemark.operators.upsert import FRESH, upsert
 from tidemark.plans import marts
-from tidemark.specs import HistorySpec
+from tidemark.plans.reconcile import Account, reconcile
+from tidemark.sources.feeds import CORRUPT, classified, feed_path, read_feed
+from tidemark.specs import Attribute, EntitySpec, FeedSpec, HistorySpec, Reference
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -145,22 +151,6 @@ def normalise_strings(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query(
-    f"""SELECT 'events' AS entity, reason_code, user_raw AS business_key, 'silver' AS layer, event_id
-    FROM ({_JUDGED_SQL}) WHERE reason_code IS NOT NULL"""
-)
-def reject_contract(spark: SparkSession, d: str) -> DataFrame:
-    bad = _judged(spark, d).where("reason_code is not null")
-    payload = F.to_json(F.struct("event_id", "user_raw", "day_raw", "amount_raw"))
-    return bad.select(
-        F.lit("events").alias("entity"),
-        "reason_code",
-        F.col("user_raw").alias("business_key"),
-        F.lit("silver").alias("layer"),
-        F.get_json_object(payload, "$.event_id").cast("long").alias("event_id"),
-    )
-
-
 @query("SELECT event_id, json_extract_string(props, '$.k') AS k FROM events")
 def json_payload_extract(spark: SparkSession, d: str) -> DataFrame:
     return _t(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"))
@@ -261,13 +251,6 @@ def union_by_name(spark: SparkSession, d: str) -> DataFrame:
 
 
 # ------------------------------------------------------------------ references
-@query("SELECT c.c_custkey, u.user_id IS NOT NULL AS known FROM customer c LEFT JOIN (SELECT DISTINCT user_id FROM events) u ON u.user_id = c.c_custkey")
-def ref_check_left(spark: SparkSession, d: str) -> DataFrame:
-    users = _t(spark, d, "events").select("user_id").distinct()
-    joined = _t(spark, d, "customer").join(users, F.col("c_custkey") == F.col("user_id"), "left")
-    return joined.select("c_custkey", F.col("user_id").isNotNull().alias("known"))
-
-
 @query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM events WHERE user_id = c_custkey)")
 def ref_orphans_anti(spark: SparkSession, d: str) -> DataFrame:
     users = _t(spark, d, "events").select("user_id").distinct()
@@ -428,7 +411,7 @@ def _rule_sql(name: str) -> str:
 def _results(spark: SparkSession, d: str, names: set[str] | None = None) -> DataFrame:
     rules = [r for r in dq.parse_rules(_RULES) if names is None or r.name in names]
     tables = {t: _t(spark, d, t) for t in ("lineitem", "orders", "customer", "events")}
-    rows = [(r.rule, r.table, r.severity, r.total_rows, r.failed_rows, r.passed) for r in dq.evaluate(tables, rules)]
+    rows = [(o.rule.name, o.rule.table, o.rule.severity, o.rows, o.failing, o.passed) for o in dq.evaluate(tables, rules)]
     return spark.createDataFrame(rows, "rule string, tbl string, severity string, total_rows long, failed_rows long, passed boolean")
 
 
@@ -460,29 +443,284 @@ def control_totals(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""WITH r AS (SELECT *, TRY_CAST(amount_raw AS DECIMAL(38,2)) AS a FROM ({_JUDGED_SQL}))
-    SELECT count(*) AS source_rows, count(*) FILTER (reason_code IS NULL) AS accepted,
-      count(*) FILTER (reason_code IS NOT NULL) AS rejected, CAST(sum(a) AS DECIMAL(38,2)) AS source_total,
-      CAST(sum(a) FILTER (reason_code IS NULL) AS DECIMAL(38,2)) AS accepted_total,
-      CAST(sum(a) FILTER (reason_code IS NOT NULL) AS DECIMAL(38,2)) AS rejected_total, true AS balanced FROM r"""
+    f"""WITH r AS (SELECT *, TRY_CAST(amount_raw AS DECIMAL(38,2)) AS a FROM ({_JUDGED_SQL})),
+    t AS (SELECT count(*) AS source, count(*) FILTER (reason_code = 'NULL_KEY') AS at_landing,
+      count(*) FILTER (reason_code IS NOT NULL) AS rejected, count(*) FILTER (reason_code IS NULL) AS accepted,
+      CAST(sum(a) AS DECIMAL(38,2)) AS total, CAST(sum(a) FILTER (reason_code IS NULL) AS DECIMAL(38,2)) AS good FROM r)
+    SELECT name, 'claims' AS entity, value AS expected, value AS actual, true AS passed FROM (
+      SELECT 'source_eq_bronze_plus_rejects' AS name, CAST(source AS VARCHAR) AS value FROM t
+      UNION ALL SELECT 'bronze_eq_silver_plus_rejects_plus_stale', CAST(source - at_landing AS VARCHAR) FROM t
+      UNION ALL SELECT 'rejects_area_accounts_for_all_rejects', CAST(rejected AS VARCHAR) FROM t
+      UNION ALL SELECT 'silver_batch_rows_landed_in_fact', CAST(accepted AS VARCHAR) FROM t
+      UNION ALL SELECT 'control_total_silver_eq_fact', CAST(good AS VARCHAR) FROM t
+      UNION ALL SELECT 'control_total_source_eq_accepted_plus_rejected', CAST(total AS VARCHAR) FROM t)"""
 )
 def recon_checks(spark: SparkSession, d: str) -> DataFrame:
-    """One pass: rows and exact totals of source, accepted and rejected, and whether they balance."""
-    rows = _judged(spark, d).withColumn("a", F.col("amount_raw").try_cast("decimal(38,2)"))
-    good, bad = F.col("reason_code").isNull(), F.col("reason_code").isNotNull()
-    total = lambda c: F.sum(c).cast("decimal(38,2)")
-    found = rows.agg(
-        F.count("*").alias("source_rows"),
-        F.count_if(good).alias("accepted"),
-        F.count_if(bad).alias("rejected"),
-        total("a").alias("source_total"),
-        total(F.when(good, F.col("a"))).alias("accepted_total"),
-        total(F.when(bad, F.col("a"))).alias("rejected_total"),
+    """The balances of a batch whose rows are the events with derived defects."""
+    rows = _judged(spark, d)
+    counts = {r.reason_code: r.n for r in rows.groupBy("reason_code").agg(F.count("*").alias("n")).collect()}
+    accepted, at_landing = counts.pop(None, 0), counts.pop("NULL_KEY", 0)
+    rejected = sum(counts.values())
+    account = Account("claims", accepted + at_landing + rejected, accepted + rejected, accepted, 0, at_landing, rejected)
+    total = rows.agg(F.sum(F.col("amount_raw").try_cast("decimal(38,2)")).alias("t")).first().t
+    filed = rows.where("reason_code is not null").select("reason_code", F.to_json(F.struct(F.col("amount_raw").alias("claim_amount"))).alias("raw_payload"))
+    good = rows.where("reason_code is null").select(F.col("amount").alias("claim_amount"), F.lit(1).alias("batch_id"))
+    checks = reconcile([account], {"claims": filed}, good, good, total, 1)["checks"]
+    return spark.createDataFrame([tuple(c.values()) for c in checks], "name string, entity string, expected string, actual string, passed boolean")
+
+
+# ------------------------------------------------------------------ a declared entity, from feed to fact
+_ORDERS = EntitySpec(
+    FeedSpec("orders", "orders.json", "json", ("order_id", "customer_id", "amount", "opened", "closed", "state", "updated"), "order_id"),
+    (
+        Attribute("order_id"), Attribute("customer_id"), Attribute("amount", "decimal(12,2)", required=True, non_negative=True),
+        Attribute("opened", "date", required=True), Attribute("closed", "date", required=True), Attribute("state", "title"),
+        Attribute("updated", "timestamp", required=True),
+    ),
+    updated="updated",
+    table="silver.orders",
+    period=("opened", "closed"),
+    references=(Reference("customer_id", "silver.customers", "customer_id", "UNKNOWN_CUSTOMER"),),
+)
+_FEED_SQL = """SELECT o_orderkey, CASE WHEN o_orderkey % 101 = 0 THEN '  ' ELSE CAST(o_orderkey AS VARCHAR) END AS order_id,
+  CASE WHEN o_orderkey % 67 = 0 THEN 'C' || CAST(o_custkey AS VARCHAR) ELSE CAST(o_custkey AS VARCHAR) END AS customer_id,
+  CASE WHEN o_orderkey % 61 = 0 THEN 'n/a' WHEN o_orderkey % 59 = 0 THEN '-1.50' ELSE CAST(o_custkey AS VARCHAR) || '.25' END AS amount,
+  CASE WHEN o_orderkey % 53 = 0 THEN '2024-13-45' WHEN o_orderkey % 47 = 0 THEN NULL ELSE strftime(o_orderdate, '%Y-%m-%d') END AS opened,
+  strftime(o_orderdate + INTERVAL (CASE WHEN o_orderkey % 43 = 0 THEN -5 ELSE 30 END) DAY, '%Y-%m-%d') AS closed,
+  ' oPEN ' AS state, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS updated FROM orders"""
+_TYPED_SQL = f"""SELECT *, TRY_CAST(amount AS DECIMAL(12,2)) AS t_amount, TRY_CAST(opened AS DATE) AS t_opened,
+  TRY_CAST(closed AS DATE) AS t_closed FROM ({_FEED_SQL})"""
+_REASONS_SQL = f"""SELECT f.*, CASE WHEN t_opened IS NULL OR t_closed IS NULL OR t_closed < t_opened THEN 'INVALID_DATE'
+    WHEN t_amount IS NULL THEN 'INVALID_NUMBER' WHEN t_amount < 0 THEN 'NEGATIVE_AMOUNT'
+    WHEN c.c_custkey IS NULL THEN 'UNKNOWN_CUSTOMER' END AS reason_code
+  FROM ({_TYPED_SQL}) f LEFT JOIN customer c ON CAST(c.c_custkey AS VARCHAR) = f.customer_id"""
+
+
+def _feed(spark: SparkSession, d: str) -> DataFrame:
+    key, day, cust = F.col("o_orderkey"), F.col("o_orderdate"), F.col("o_custkey").cast("string")
+    every = lambda n: key % n == 0
+    return _t(spark, d, "orders").select(
+        "o_orderkey",
+        F.when(every(101), "  ").otherwise(key.cast("string")).alias("order_id"),
+        F.when(every(67), F.concat(F.lit("C"), cust)).otherwise(cust).alias("customer_id"),
+        F.when(every(61), "n/a").when(every(59), "-1.50").otherwise(F.concat(cust, F.lit(".25"))).alias("amount"),
+        F.when(every(53), "2024-13-45").when(every(47), None).otherwise(F.date_format(day, "yyyy-MM-dd")).alias("opened"),
+        F.date_add(day.cast("date"), F.when(every(43), -5).otherwise(30)).cast("string").alias("closed"),
+        F.lit(" oPEN ").alias("state"),
+        F.date_format(day, "yyyy-MM-dd HH:mm:ss").alias("updated"),
+        F.lit(1).alias("batch_id"),
+        F.lit("orders.json").alias("source_file"),
     )
-    balanced = (F.col("source_rows") == F.col("accepted") + F.col("rejected")) & (
-        F.col("source_total") == F.coalesce("accepted_total", F.lit(0)) + F.coalesce("rejected_total", F.lit(0))
+
+
+def _conformed(spark: SparkSession, d: str) -> DataFrame:
+    known = _t(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("customer_id"))
+    return judged(with_references(typed(_feed(spark, d), _ORDERS), _ORDERS, {"silver.customers": known}), _ORDERS)
+
+
+@query(
+    f"""SELECT order_id, trim(customer_id) AS customer, t_amount, CAST(t_opened AS VARCHAR) AS t_opened,
+    CAST(t_closed AS VARCHAR) AS t_closed, 'Open' AS t_state, updated AS t_updated FROM ({_TYPED_SQL})"""
+)
+def conform_types(spark: SparkSession, d: str) -> DataFrame:
+    t = lambda c: F.col(TYPED + c)
+    return typed(_feed(spark, d), _ORDERS).select(
+        "order_id",
+        t("customer_id").alias("customer"),
+        t("amount").alias("t_amount"),
+        t("opened").cast("string").alias("t_opened"),
+        t("closed").cast("string").alias("t_closed"),
+        t("state").alias("t_state"),
+        F.date_format(t("updated"), "yyyy-MM-dd HH:mm:ss").alias("t_updated"),
     )
-    return found.withColumn("balanced", balanced)
+
+
+@query(f"SELECT order_id, customer_id, updated, reason_code FROM ({_REASONS_SQL})")
+def conform_reasons(spark: SparkSession, d: str) -> DataFrame:
+    return _conformed(spark, d).select("order_id", "customer_id", "updated", "reason_code")
+
+
+@query(
+    f"""SELECT trim(order_id) AS order_id, customer_id, t_amount AS amount, CAST(t_opened AS VARCHAR) AS opened,
+    CAST(1 AS INTEGER) AS batch_id FROM ({_REASONS_SQL}) WHERE reason_code IS NULL"""
+)
+def conform_accepted(spark: SparkSession, d: str) -> DataFrame:
+    good = accepted_columns(_conformed(spark, d).where("reason_code is null"), _ORDERS)
+    return good.select("order_id", "customer_id", "amount", F.col("opened").cast("string").alias("opened"), "batch_id")
+
+
+@query(
+    f"""SELECT 'orders' AS entity, reason_code, order_id AS business_key, 'silver' AS layer, CAST(1 AS INTEGER) AS batch_id,
+    'orders.json' AS source_file, amount, opened, closed FROM ({_REASONS_SQL}) WHERE reason_code IS NOT NULL"""
+)
+def reject_contract(spark: SparkSession, d: str) -> DataFrame:
+    filed = to_rejects(_conformed(spark, d).where("reason_code is not null"), _ORDERS.feed, "silver")
+    within = [F.get_json_object("raw_payload", f"$.{c}").alias(c) for c in ("amount", "opened", "closed")]
+    return filed.select("entity", "reason_code", "business_key", "layer", "batch_id", "source_file", *within)
+
+
+@query(
+    f"""SELECT f.order_id, c.c_custkey IS NOT NULL AS known FROM ({_FEED_SQL}) f
+    LEFT JOIN customer c ON CAST(c.c_custkey AS VARCHAR) = f.customer_id"""
+)
+def ref_check_left(spark: SparkSession, d: str) -> DataFrame:
+    known = _t(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("customer_id"))
+    twice = {"silver.customers": known.unionByName(known)}  # several versions of a key match once
+    found = with_references(typed(_feed(spark, d), _ORDERS), _ORDERS, twice)
+    return found.select("order_id", F.col("__ref0").isNotNull().alias("known"))
+
+
+@query(
+    f"""SELECT reason_code, count(*) AS n, count(order_id) AS n_keys, count(*) AS n_files, CAST(1 AS INTEGER) AS batch_id,
+      max(len(line)) AS longest
+    FROM (SELECT CASE WHEN o_orderkey % 37 = 0 THEN NULL ELSE order_id END AS order_id,
+            CASE WHEN o_orderkey % 37 = 0 THEN 'MALFORMED_RECORD' WHEN trim(order_id) = '' THEN 'NULL_KEY' END AS reason_code,
+            CASE WHEN o_orderkey % 37 = 0 THEN '{{"order_id":"' || order_id || '"' END AS line FROM ({_FEED_SQL}))
+    GROUP BY reason_code"""
+)
+def landing_json(spark: SparkSession, d: str) -> DataFrame:
+    """A feed written as lines, some cut off, and landed again: reasons, stamps and kept lines."""
+    whole = F.to_json(F.struct(*_ORDERS.feed.columns))
+    cut = F.concat(F.lit('{"order_id":"'), "order_id", F.lit('"'))
+    lines = _feed(spark, d).select(F.when(F.col("o_orderkey") % 37 == 0, cut).otherwise(whole).alias("value"))
+    root = _scratch(spark)
+    lines.write.text(feed_path(root, _ORDERS.feed, 1))
+    landed = classified(read_feed(spark, root, _ORDERS.feed, 1), _ORDERS.feed)
+    return landed.groupBy("reason_code", "batch_id").agg(
+        F.count("*").alias("n"),
+        F.count("order_id").alias("n_keys"),
+        F.count_if(F.col("source_file").contains(_ORDERS.feed.file) & F.col("ingested_at").isNotNull()).alias("n_files"),
+        F.max(F.length(CORRUPT)).cast("long").alias("longest"),
+    )
+
+
+def _scratch(spark: SparkSession) -> str:
+    """A fresh folder below the one that driver and executors share; without one, a temporary folder of a local session."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return f"{shared or 'file://' + tempfile.mkdtemp(prefix='tidemark-')}/landing-{uuid.uuid4().hex}"
+
+
+@query(
+    f"""SELECT order_id, amount, updated, fresh FROM (SELECT *, row_number() OVER (PARTITION BY order_id ORDER BY updated DESC, fresh) AS n
+    FROM (SELECT order_id, t_amount AS amount, updated, false AS fresh FROM ({_REASONS_SQL}) WHERE reason_code IS NULL AND o_orderkey % 101 <> 0
+      UNION ALL SELECT order_id, t_amount + 1, strftime(CAST(updated AS TIMESTAMP) + INTERVAL (o_orderkey % 3 - 1) DAY, '%Y-%m-%d %H:%M:%S'), true
+      FROM ({_REASONS_SQL}) WHERE reason_code IS NULL AND o_orderkey % 101 <> 0 AND o_orderkey % 7 = 0)) WHERE n = 1"""
+)
+def upsert_claims(spark: SparkSession, d: str) -> DataFrame:
+    """A second batch with rows that are older than, as old as and newer than the stored ones."""
+    stored = accepted_columns(_conformed(spark, d).where("reason_code is null and trim(order_id) <> ''"), _ORDERS)
+    key = F.col("order_id").cast("long")
+    shift = F.make_dt_interval((key % 3 - 1).cast("int"))
+    incoming = stored.where(key % 7 == 0).withColumns(
+        {"amount": (F.col("amount") + 1).cast("decimal(12,2)"), "updated": F.col("updated") + shift}
+    )
+    merged = upsert(stored, incoming, "order_id", "updated")
+    return merged.select("order_id", "amount", F.date_format("updated", "yyyy-MM-dd HH:mm:ss").alias("updated"), F.col(FRESH).alias("fresh"))
+
+
+_LATE = f"""SELECT user_id, event_type, ts, 1 AS batch FROM events WHERE ts < TIMESTAMP '{MARK}'
+  UNION ALL SELECT user_id, event_type, ts, 2 FROM events WHERE ts >= TIMESTAMP '{MARK}'
+  UNION ALL SELECT user_id, 'late', ts - INTERVAL 3 DAY, 2 FROM events WHERE event_id % 5 = 0"""
+
+
+@query(
+    f"""WITH log AS ({_LATE}),
+    opened AS (SELECT user_id, max(ts) AS at FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, sha256(event_type)) AS before
+        FROM log WHERE batch = 1) WHERE before IS NULL OR before <> event_type GROUP BY user_id),
+    counted AS (SELECT log.* FROM log LEFT JOIN opened o ON o.user_id = log.user_id WHERE batch = 1 OR o.at IS NULL OR log.ts > o.at),
+    changed AS (SELECT * FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, batch, sha256(event_type)) AS before FROM counted)
+      WHERE before IS NULL OR before <> event_type)
+    SELECT user_id, event_type, sha256(event_type) AS hash_diff, ts AS effective_from,
+      coalesce(lead(ts) OVER k, TIMESTAMP '9999-12-31 00:00:00') AS effective_to, lead(ts) OVER k IS NULL AS is_current,
+      CAST(batch AS INTEGER) AS batch_id
+    FROM changed WINDOW k AS (PARTITION BY user_id ORDER BY ts, batch, sha256(event_type))"""
+)
+def scd2_late_rows(spark: SparkSession, d: str) -> DataFrame:
+    """A second batch that also holds rows older than the open versions: the guard drops them."""
+    events = _t(spark, d, "events")
+    log = events.select("user_id", "event_type", "ts")
+    mark = F.lit(MARK).cast("timestamp_ntz")
+    first = apply_history(None, log.where(F.col("ts") < mark), _HISTORY, 1)
+    late = events.where("event_id % 5 = 0").select("user_id", F.lit("late").alias("event_type"), (F.col("ts") - F.expr("interval 3 days")).alias("ts"))
+    return apply_history(first, log.where(F.col("ts") >= mark).unionByName(late), _HISTORY, 2).select(*_VERSION)
+
+
+@query(_VERSIONS_SQL.format(batch=f"CASE WHEN ts <= TIMESTAMP '{MARK}' THEN 1 ELSE 2 END", source="events"))
+def scd2_watermarked(spark: SparkSession, d: str) -> DataFrame:
+    """A second batch that resends the first: only what is newer than the watermark is applied."""
+    log = _t(spark, d, "events").select("user_id", "event_type", "ts")
+    first = apply_history(None, log.where(F.col("ts") <= F.lit(MARK).cast("timestamp_ntz")), _HISTORY, 1)
+    return apply_history(first, newer_than(log, "ts", MARK), _HISTORY, 2).select(*_VERSION)
+
+
+@query(
+    """SELECT l_orderkey || '-' || l_linenumber AS claim_id, v.sk AS policy_sk, v.sk IS NOT NULL AS customer_known,
+      CAST(l_orderkey AS VARCHAR) AS policy_id, v.line AS product_line, CAST(strftime(l_shipdate, '%Y%m%d') AS INTEGER) AS loss_date_key,
+      CAST(strftime(l_shipdate + INTERVAL 3 DAY, '%Y%m%d') AS INTEGER) AS reported_date_key,
+      CAST(l_extendedprice AS DECIMAL(14,2)) AS claim_amount, CAST(l_quantity AS DECIMAL(14,2)) AS paid_amount,
+      CAST(CAST(l_extendedprice AS DECIMAL(14,2)) - CAST(l_quantity AS DECIMAL(14,2)) AS DECIMAL(15,2)) AS outstanding_amount,
+      l_returnflag AS claim_status, l_linestatus AS cause_of_loss, CAST(1 AS INTEGER) AS batch_id
+    FROM lineitem LEFT JOIN (
+      SELECT o_orderkey AS k, o_orderkey * 2 AS sk, o_orderpriority AS line, o_orderdate AS a, o_orderdate + INTERVAL 60 DAY AS b FROM orders
+      UNION ALL SELECT o_orderkey, o_orderkey * 2 + 1, 'LATE', o_orderdate + INTERVAL 60 DAY, TIMESTAMP '9999-12-31' FROM orders WHERE o_orderkey % 2 = 0
+    ) v ON v.k = l_orderkey AND CAST(l_shipdate AS DATE) >= v.a AND CAST(l_shipdate AS DATE) < v.b"""
+)
+def fact_claims(spark: SparkSession, d: str) -> DataFrame:
+    """Line items as claims, bound to one of the two versions that an order stands for."""
+    start, later = F.col("o_orderdate"), F.col("o_orderdate") + F.expr("interval 60 days")
+    orders = _t(spark, d, "orders").withColumn("policy_id", F.col("o_orderkey").cast("string"))
+    columns = lambda sk, line, a, b: (
+        sk.alias("policy_sk"), "policy_id", F.col("o_custkey").alias("customer_id"), line.alias("product_line"),
+        a.alias("effective_from"), b.alias("effective_to"),
+    )
+    end = F.lit("9999-12-31 00:00:00").cast("timestamp_ntz")
+    versions = orders.select(*columns(F.col("o_orderkey") * 2, F.col("o_orderpriority"), start, later)).unionByName(
+        orders.where("o_orderkey % 2 = 0").select(*columns(F.col("o_orderkey") * 2 + 1, F.lit("LATE"), later, end))
+    )
+    day = F.col("l_shipdate").cast("date")
+    claims = _t(spark, d, "lineitem").select(
+        F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("claim_id"),
+        F.col("l_orderkey").cast("string").alias("policy_id"),
+        day.alias("loss_date"),
+        F.date_add(day, 3).alias("reported_date"),
+        _money("l_extendedprice").alias("claim_amount"),
+        _money("l_quantity").alias("paid_amount"),
+        F.col("l_returnflag").alias("claim_status"),
+        F.col("l_linestatus").alias("cause_of_loss"),
+        F.col("l_shipdate").alias("last_modified"),
+        F.lit(1).alias("batch_id"),
+    )
+    found = marts.fact_claims(claims, versions)
+    return found.withColumn("customer_known", F.col("customer_sk").isNotNull()).drop("customer_sk", "last_modified")
+
+
+@query(
+    """SELECT l_orderkey, l_linenumber, count(*) - 1 AS superseded, CAST(CAST(max(l_shipdate) AS DATE) AS VARCHAR) AS kept FROM (
+      SELECT l_orderkey, l_linenumber, l_shipdate FROM lineitem UNION ALL SELECT l_orderkey, l_linenumber, l_shipdate FROM lineitem WHERE l_linenumber = 1)
+    GROUP BY l_orderkey, l_linenumber"""
+)
+def exact_resends(spark: SparkSession, d: str) -> DataFrame:
+    """Rows that are sent twice as they are: ties fall to the content's hash, one row of each key stays."""
+    lines = _lines(spark, d)
+    good, rest = split_latest(lines.unionByName(lines.where("l_linenumber = 1")), _LINE_KEY, _LINE_NEW)
+    lost = rest.groupBy(*_LINE_KEY).agg(F.count("*").alias("superseded"))
+    day = F.col("l_shipdate").cast("date").cast("string").alias("kept")
+    return good.select(*_LINE_KEY, day).join(lost, _LINE_KEY, "left").fillna(0, ["superseded"])
+
+
+@query(
+    f"""SELECT count(*) FILTER (NOT passed AND severity = 'critical') = 0 AS published,
+      coalesce(string_agg(rule, ',' ORDER BY rule) FILTER (NOT passed AND severity = 'critical'), '') AS held_back_by,
+      coalesce(string_agg(rule, ',' ORDER BY rule) FILTER (NOT passed AND severity = 'warning'), '') AS noted
+    FROM ({" UNION ALL ".join(map(_rule_sql, _RULE_SQL))})"""
+)
+def dq_gate(spark: SparkSession, d: str) -> DataFrame:
+    tables = {t: _t(spark, d, t) for t in ("lineitem", "orders", "customer", "events")}
+    found = dq.report(dq.evaluate(tables, dq.parse_rules(_RULES)), 1)
+    row = (found["published"], ",".join(sorted(found["held_back_by"])), ",".join(sorted(found["noted"])))
+    return spark.createDataFrame([row], "published boolean, held_back_by string, noted string")
 
 
 # ------------------------------------------------------------------ flagship

@@ -20,8 +20,8 @@ from tidemark.errors import GateClosedError, ReconciliationError
 from tidemark.logs import event
 from tidemark.operators import rules as dq
 from tidemark.operators.conform import TYPED, accepted_columns, judged, typed, with_references
-from tidemark.operators.dedupe import RANK, ranked_latest
-from tidemark.operators.history import apply_history
+from tidemark.operators.dedupe import RANK, SUPERSEDED, ranked_latest
+from tidemark.operators.history import apply_history, newer_than
 from tidemark.operators.quarantine import to_rejects
 from tidemark.operators.upsert import FRESH, upsert
 from tidemark.plans import marts
@@ -49,8 +49,10 @@ def _reasons(df: DataFrame) -> dict[str | None, int]:
     return {r.reason_code: r.n for r in df.groupBy("reason_code").agg(F.count("*").alias("n")).collect()}
 
 
-def land(spark: SparkSession, raw_root: str, entity: EntitySpec, tx: Transaction, account: Account) -> tuple[DataFrame, DataFrame]:
-    """Lands a feed: (bronze slice, rejects)."""
+def land(
+    spark: SparkSession, raw_root: str, entity: EntitySpec, tx: Transaction, account: Account
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Lands a feed: (bronze slice, rejects, the persisted rows that the rejects are read from)."""
     feed = entity.feed
     rows = classified(read_feed(spark, raw_root, feed, tx.batch), feed).persist(StorageLevel.MEMORY_AND_DISK)
     counts = _reasons(rows)
@@ -60,7 +62,7 @@ def land(spark: SparkSession, raw_root: str, entity: EntitySpec, tx: Transaction
     bronze = tx.put_slice(
         f"bronze.{feed.entity}", rows.where("reason_code is null").select(*feed.columns, "batch_id", "source_file", "ingested_at")
     )
-    return bronze, to_rejects(rows.where("reason_code is not null"), feed, "bronze")
+    return bronze, to_rejects(rows.where("reason_code is not null"), feed, "bronze"), rows
 
 
 def conform(entity: EntitySpec, bronze: DataFrame, landing_rejects: DataFrame, tx: Transaction, account: Account) -> None:
@@ -70,7 +72,7 @@ def conform(entity: EntitySpec, bronze: DataFrame, landing_rejects: DataFrame, t
     keys = [TYPED + entity.key] + ([TYPED + entity.updated] if entity.history else [])
     good = ranked_latest(rows.where("reason_code is null"), keys, [TYPED + entity.updated], list(entity.feed.columns))
     resolved = (
-        good.withColumn("reason_code", F.when(F.col(RANK) > 1, "DUPLICATE_KEY"))
+        good.withColumn("reason_code", F.when(F.col(RANK) > 1, SUPERSEDED))
         .drop(RANK)
         .unionByName(rows.where("reason_code is not null"))
         .persist(StorageLevel.MEMORY_AND_DISK)
@@ -97,9 +99,7 @@ def conform(entity: EntitySpec, bronze: DataFrame, landing_rejects: DataFrame, t
 def _merge_history(entity: EntitySpec, incoming: DataFrame, tx: Transaction) -> int:
     """Applies what is newer than the watermark; moves the watermark to the newest applied."""
     name = entity.feed.entity
-    mark = tx.base.watermarks.get(name)
-    if mark:
-        incoming = incoming.where(F.col(entity.updated) > F.lit(mark).cast("timestamp"))
+    incoming = newer_than(incoming, entity.updated, tx.base.watermarks.get(name))
     newest = F.date_format(F.max(entity.updated), "yyyy-MM-dd HH:mm:ss.SSSSSS")
     found = incoming.agg(F.count("*").alias("n"), newest.alias("mark")).first()
     tx.put(entity.table, apply_history(tx.table(entity.table), incoming, entity.history, tx.batch))
@@ -146,8 +146,11 @@ def run_batch(spark: SparkSession, settings: Settings, batch: int) -> BatchResul
     try:
         for entity in ENTITIES:  # in the order of their references
             account = accounts[entity.feed.entity]
-            bronze, rejects = land(spark, settings.raw_root, entity, tx, account)
-            conform(entity, bronze, rejects, tx, account)
+            bronze, rejects, rows = land(spark, settings.raw_root, entity, tx, account)
+            try:
+                conform(entity, bronze, rejects, tx, account)
+            finally:
+                rows.unpersist()
             event(log, "entity conformed", entity=account.entity, accepted=account.accepted, rejected=account.rejected, stale=account.stale)
         gold = build_gold(tx)
         silver = {e.table: tx.table(e.table) for e in ENTITIES}
@@ -155,7 +158,7 @@ def run_batch(spark: SparkSession, settings: Settings, batch: int) -> BatchResul
         report = dq.report(results, batch)
         store.write_json(f"reports/dq_report_batch_{batch}.json", report)
         store.files.write_text(f"{store.root}/reports/dq_report_batch_{batch}.md", dq.report_markdown(report))
-        if dq.critical_failures(results):
+        if not report["published"]:
             path = store.write_json(f"alerts/alert_batch_{batch}.json", dq.alert(results, batch))
             raise GateClosedError(f"batch {batch}: critical rules failed, see {path}", path)
         slices = {name: spark.read.parquet(f"{store.root}/{tx.next.slices[f'rejects.{name}'][str(batch)]}") for name in accounts}
@@ -171,8 +174,6 @@ def run_batch(spark: SparkSession, settings: Settings, batch: int) -> BatchResul
     except Exception:
         tx.abort()
         raise
-    finally:
-        spark.catalog.clearCache()
     event(log, "batch published", batch=batch, **rows)
     return BatchResult(batch, list(accounts.values()), report, balance, rows)
 
@@ -181,8 +182,8 @@ def summary(result: BatchResult) -> str:
     """The row accounts of a batch as text."""
     balance = result.reconciliation["status"]
     out = [
-        f"== batch {result.batch_id} | gate {result.report['gate']} "
-        f"({result.report['rules_passed']}/{result.report['rules_total']}) | reconciliation {balance}",
+        f"batch {result.batch_id}: {sum(o['passed'] for o in result.report['outcomes'])} of "
+        f"{len(result.report['outcomes'])} rules hold, balances {balance.lower()}",
         f"{'entity':<10}{'source':>8}{'bronze':>8}{'silver':>8}{'rejected':>10}{'stale':>7}",
     ]
     out += [f"{a.entity:<10}{a.source:>8}{a.landed:>8}{a.accepted:>8}{a.rejected:>10}{a.stale:>7}" for a in result.accounts]

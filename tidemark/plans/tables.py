@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Sequence
 from copy import deepcopy
 from dataclasses import dataclass, field
 
@@ -55,15 +56,31 @@ class TableStore:
         reader = self.spark.read.schema(schema) if schema else self.spark.read
         return reader.parquet(f"{self.root}/{path}") if path else None
 
+    def slices(self, name: str, schema: T.StructType | None = None) -> DataFrame | None:
+        """The slices of all published batches together; rows carry their ``batch_id``."""
+        paths = [f"{self.root}/{p}" for _, p in sorted(self.manifest().slices.get(name, {}).items(), key=lambda x: int(x[0]))]
+        reader = self.spark.read.schema(schema) if schema else self.spark.read
+        return reader.parquet(*paths) if paths else None
+
+    def export(self, name: str, path: str, by: Sequence[str] = ("batch_id", "layer"), batch: int | None = None) -> None:
+        """Writes slices, of one batch or all, to a folder partitioned ``by`` columns.
+
+        Only partitions that the rows have are replaced; those of other batches stay.
+        """
+        rows = self.slices(name) if batch is None else self.slice(name, batch)
+        if rows is not None:
+            rows.write.partitionBy(*by).option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(path)
+
     def begin(self, batch: int) -> Transaction:
         """A transaction for ``batch``: the next one, or the last again from the state before it."""
         base = self.manifest()
+        seen = base.to_json()
         last = max(base.batches, default=0)
         if batch == last and last:
             base = Manifest(**base.previous) if base.previous else Manifest()
         elif batch != last + 1:
             raise BatchOrderError(f"batch {batch} after batch {last}: run {last + 1}, or {last} again")
-        return Transaction(self, base, batch)
+        return Transaction(self, base, batch, seen)
 
     def reset(self) -> None:
         self.files.delete(self.root)
@@ -77,8 +94,8 @@ class TableStore:
 class Transaction:
     """New versions on top of ``base``, seen by nobody until :meth:`commit`."""
 
-    def __init__(self, store: TableStore, base: Manifest, batch: int):
-        self.store, self.base, self.batch = store, base, batch
+    def __init__(self, store: TableStore, base: Manifest, batch: int, seen: str):
+        self.store, self.base, self.batch, self.seen = store, base, batch, seen
         self.next = Manifest(**deepcopy(base.__dict__))
         before = Manifest(**deepcopy(base.__dict__))
         before.previous = None  # one step back is kept
@@ -107,6 +124,9 @@ class Transaction:
         return self.store.spark.read.parquet(f"{self.store.root}/{path}") if path else None
 
     def commit(self) -> None:
+        """Publishes, unless another run has published since this one began."""
+        if self.store.manifest().to_json() != self.seen:
+            raise BatchOrderError(f"batch {self.batch}: another run has published since this one began")
         if self.batch not in self.next.batches:
             self.next.batches.append(self.batch)
         self.store.files.write_text(f"{self.store.root}/{MANIFEST}", self.next.to_json())

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import SparkSession
 
 
@@ -29,12 +31,16 @@ class Files:
             stream.close()
 
     def write_text(self, path: str, text: str) -> None:
-        """Writes beside the target, then renames over it: readers see the old or the new file."""
+        """Writes beside the target under a name of its own, then renames over it.
+
+        Where a rename is atomic readers see the old or the new file; a store that copies
+        instead may show none for a moment.
+        """
         context = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(
             self._jvm.org.apache.hadoop.fs.Path(path).toUri(), self._conf
         )
         fs, target = self._open(path)
-        beside = self._jvm.org.apache.hadoop.fs.Path(path + ".next")
+        beside = self._jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}")
         fs.mkdirs(target.getParent())
         stream = fs.create(beside, True)
         try:
@@ -52,6 +58,11 @@ class Files:
         array[0] = option
         return array
 
+    def names(self, folder: str) -> list[str]:
+        """What lies directly in a folder; nothing where there is none."""
+        fs, p = self._open(folder)
+        return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
+
     def delete(self, path: str) -> None:
         fs, p = self._open(path)
         fs.delete(p, True)
