@@ -84,7 +84,8 @@ def test_nulls_repeats_empty(documents):
 
 def test_components(spark):
     rng = random.Random(2)
-    edges = [(rng.randint(0, 300), rng.randint(0, 300)) for _ in range(220)] + [(i, i + 1) for i in range(1000, 1060)] + [(7, 7)]
+    edges = [(2000, 2000 + i) for i in range(1, 80)] + [(2079 - i, 2079) for i in range(40)]
+    edges += [(rng.randint(0, 300), rng.randint(0, 300)) for _ in range(220)] + [(i, i + 1) for i in range(1000, 1060)] + [(7, 7)]
     root = {}
     find = lambda x: x if root.setdefault(x, x) == x else find(root[x])
     for a, b in edges:
@@ -92,7 +93,8 @@ def test_components(spark):
         root[max(u, v)] = min(u, v)
     want = {x: find(x) for a, b in edges for x in (a, b) if a != b}
     df = spark.createDataFrame(edges, "u long, v long")
-    assert {r.node: r.component for r in components(df).collect()} == want
+    for options in ({}, {"least_hub": 3, "most_hubs": 10**6}):  # without hubs, and with most nodes taken for hubs
+        assert {r.node: r.component for r in components(df, **options).collect()} == want
     assert components(df.where("false")).count() == 0
 
 

@@ -12,12 +12,26 @@ def _signature(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("big", "small").cast("decimal(38,0)"))).first())
 
 
-def components(edges: DataFrame) -> DataFrame:
+def _pointed(edges: DataFrame, most: int) -> DataFrame:
+    """``edges`` (big, small) with ``least``: the smallest of ``big`` and all its neighbours.
+
+    Nodes of more than ``most`` edges, of which there can only be few, are broadcast with what
+    they point to; the edges of all others are joined by a shuffle.
+    """
+    least = edges.groupBy("big").agg(F.least("big", F.min("small")).alias("least"), F.count("*").alias("n"))
+    hubs = F.broadcast(least.where(F.col("n") > most).select("big", "least"))
+    plain = least.where(F.col("n") <= most).select("big", "least")
+    rest = edges.join(hubs.select("big"), "big", "left_anti").join(plain, "big")
+    return edges.join(hubs, "big").unionByName(rest)
+
+
+def components(edges: DataFrame, *, least_hub: int = 1_000, most_hubs: int = 1_000) -> DataFrame:
     """(node, component) of every node of ``edges`` (columns u, v); component: its smallest node.
 
     Edges to or from null are ignored, loops and repeated edges do no harm, no edges give
-    an empty table.  Every step is a shuffle of edges with partial aggregation; nothing is
-    gathered in one place but a count and a checksum.
+    an empty table.  Every step is a shuffle of edges with partial aggregation; the edges of
+    a node that has more than ``least_hub``, and more than a share of 1 / ``most_hubs``, do not
+    meet in one task.  Nothing is gathered in one place but a count and a checksum.
     """
     now = stash(
         edges.where("u <> v").select(F.greatest("u", "v").alias("big"), F.least("u", "v").alias("small")).distinct(),
@@ -25,17 +39,19 @@ def components(edges: DataFrame) -> DataFrame:
     )
     seen = _signature(now)
     while True:
+        most = max(least_hub, -(-2 * seen[0] // most_hubs))
         both = now.unionByName(now.select(F.col("small").alias("big"), F.col("big").alias("small")))
-        least = both.groupBy("big").agg(F.least("big", F.min("small")).alias("least"))
         large = (
-            both.where("small > big")
-            .join(least, "big")
+            _pointed(both, most)
+            .where("small > big")
             .select(F.col("small").alias("big"), F.col("least").alias("small"))
+            .where("big <> small")
             .distinct()
         )
-        least = large.groupBy("big").agg(F.min("small").alias("least"))
-        moved = large.join(least, "big").where("small <> least").select(F.col("small").alias("big"), F.col("least").alias("small"))
-        now = stash(least.withColumnRenamed("least", "small").unionByName(moved).distinct(), "edges")
+        linked = _pointed(large, most)
+        star = linked.select("big", F.col("least").alias("small"))
+        moved = linked.where("small <> least").select(F.col("small").alias("big"), F.col("least").alias("small"))
+        now = stash(star.unionByName(moved).distinct(), "edges")
         before, seen = seen, _signature(now)
         if before == seen:
             break

@@ -6,13 +6,14 @@
    with two hubs, its smallest id and its most central member (the one whose bands are the
    most popular), so a bucket of n proposes at most 2n pairs.  Pairs whose sketches admit
    the similarity are confirmed on the full sets.
-3. What the hubs leave undecided: families (documents connected by buckets at all) in
-   which several components remain.  All members outside a family's largest component are
+3. What the hubs leave undecided: buckets whose other members are in several components
+   still.  Only these members go on; buckets of up to three documents never do.  Those that
+   such buckets connect are a family.  All members outside a family's largest component are
    compared with the whole family, in cells of bounded size, by band, likelihood and full
    set; only links that join components leave a cell.  So no pair that shares a band goes
    unexamined unless its ends are already connected.
 
-A pair at the least similarity shares no band with a probability below 1e-7.
+A pair at the least similarity shares no band with a probability below 1e-5.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ from tidemark.llm.components import components
 from tidemark.llm.exact_dedup import row_key
 
 PERCENT = 80
+#: Rows that a comparison cell holds, at most on average.
+MOST_ROWS = 1_000
 
 
 def _texts(column: pa.Array) -> Iterator[bytes]:
@@ -164,9 +167,11 @@ def near_dedup(
     shingles is at least ``percent`` %; component_id is the smallest id reachable.  A text of
     fewer words is one shingle.  Null, empty and blank texts have none and link with nothing
     (component_id is their own id).  A null id links with nothing and is kept.  Repeated
-    rows come back repeated; different texts of one id are judged apart.  An empty table gives an empty result.  ``cell_shingles`` bounds
-    what a comparison cell holds at a time; ids are broadcast only up to a counted
-    ``max_broadcast_ids``, more of them take a shuffle join.  Neither changes the result.
+    rows come back repeated; different texts of one id are judged apart.  Texts of any length
+    are cut into shingles whole, an empty table gives an empty result, and other columns are
+    not looked at.  ``cell_shingles`` bounds what a comparison cell holds at a time; ids are
+    broadcast only up to a counted ``max_broadcast_ids``, more of them take a shuffle join.
+    Neither changes the result.
     """
     found = _judged(docs, id_col, text_col, width, percent, cell_shingles, max_broadcast_ids)
     return found.select("doc_id", "n_shingles", "component_id", "kept")
@@ -197,11 +202,13 @@ def _judged(
     buckets = banded.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     members = stash(banded.join(buckets, "key"), "members")
     popular = members.groupBy("id").agg(F.sum("size").alias("weight"))
-    hubs = (
+    # of equally popular members the largest id: the first and the central one of two members differ
+    hubs = stash(
         members.join(popular, "id")
         .groupBy("key")
         .agg(F.min("id").alias("first"), F.max(F.struct("weight", "id")).alias("central"))
-        .select("key", F.array_distinct(F.array("first", "central.id")).alias("hubs"))
+        .select("key", F.array_distinct(F.array("first", "central.id")).alias("hubs")),
+        "hubs",
     )
     pairs = stash(
         members.join(hubs, "key")
@@ -240,7 +247,8 @@ def _judged(
         .mapInArrow(_confirmed(percent), "u long, v long"),
         "links",
     )
-    more = _undecided(pairs, links, nodes, sets, percent, cell_shingles)
+    others = members.join(hubs, "key").where(~F.array_contains("hubs", F.col("id"))).select("key", "id")
+    more = _undecided(others, links, nodes, sets, percent, cell_shingles)
     found = components(links.unionByName(more)).select(F.col("node").alias("id"), "component")
     linked = classes.select("set_key", "id", "doc_id").join(found, "id", "left")
     least = linked.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("least"))
@@ -261,17 +269,29 @@ def _judged(
     )
 
 
-def _undecided(pairs: DataFrame, links: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int, limit: int) -> DataFrame:
-    """Step 3: links (u, v) that join components of one family, found cell by cell."""
-    families = components(pairs).select(F.col("node").alias("id"), F.col("component").alias("family"))
+def _undecided(others: DataFrame, links: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int, limit: int) -> DataFrame:
+    """Step 3: links (u, v) that join components of one family, found cell by cell.
+
+    ``others`` are the members (key, id) of buckets that are no hubs: hubs were held against all.
+    """
     joined = components(links).select(F.col("node").alias("id"), "component")
+    labelled = others.join(joined, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
+    several = (
+        labelled.groupBy("key")
+        .agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("id").alias("first"))
+        .where("low < high")
+        .select("key", "first")
+    )
+    open_ = stash(labelled.join(several, "key").select("id", "component", "first").distinct(), "open")
+    families = components(open_.select(F.col("id").alias("u"), F.col("first").alias("v"))).select(
+        F.col("node").alias("id"), F.col("component").alias("family")
+    )
     placed = stash(
-        families.join(joined, "id", "left")
-        .join(nodes.select("id", "n"), "id")
-        .select("id", "family", F.coalesce("component", "id").alias("component"), "n"),
-        "placed",
+        open_.select("id", "component").distinct().join(families, "id").join(nodes.select("id", "n"), "id"), "placed"
     )
-    by_component = placed.groupBy("family", "component").agg(F.sum("n").alias("weight"))
+    # a row weighs as many shingles as it has, and at least so many that a cell holds few rows
+    weight = F.greatest("n", F.lit(max(1, limit // MOST_ROWS)))
+    by_component = placed.groupBy("family", "component").agg(F.sum(weight).alias("weight"))
     mixed = (
         by_component.groupBy("family")
         .agg(
