@@ -66,22 +66,6 @@ class NgramModel:
         return score
 
 
-def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    pos, neg = np.zeros(1 << BITS, np.int32), np.zeros(1 << BITS, np.int32)
-    seen = False
-    for batch in batches:
-        for label, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), strict=True):
-            (pos if label else neg)[np.unique(ngram_buckets(text.as_py()))] += 1
-            seen = True
-    if seen:
-        at = np.flatnonzero(pos + neg)
-        for part in np.array_split(at, 1 + len(at) // 100_000):
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(part), pa.array(pos[part].astype(np.int64)), pa.array(neg[part].astype(np.int64))],
-                names=["bucket", "pos", "neg"],
-            )
-
-
 def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = [np.unique(ngram_buckets(text.as_py())).astype(np.int32) for text in batch.column(2).cast(pa.binary())]
@@ -151,35 +135,46 @@ def fit_logistic(
     return w[:-1], float(w[-1])
 
 
+def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row, the model of all rows: its intercept and its table."""
+    labels, lists = [np.zeros(0)], [(np.zeros(0, np.int32), np.zeros(0, np.int64))]
+    for batch in batches:
+        at = batch.column(2)
+        labels.append(batch.column(1).to_numpy(zero_copy_only=False).astype(float))
+        lists.append((at.flatten().to_numpy().copy(), np.diff(at.offsets.to_numpy()).astype(np.int64)))
+    y, flat, sizes = np.concatenate(labels), np.concatenate([x for x, _ in lists]), np.concatenate([x for _, x in lists])
+    lists.clear()
+    n_pos = y.sum()
+    if 0 < n_pos < len(y):
+        pos, both = np.zeros(1 << BITS), np.zeros(1 << BITS)
+        for part in np.array_split(np.arange(len(y)), 1 + len(flat) // (1 << 21)):
+            own = slice(int(sizes[: part[0]].sum()), int(sizes[: part[-1] + 1].sum()))
+            pos += np.bincount(flat[own], np.repeat(y[part], sizes[part]), 1 << BITS)
+            both += np.bincount(flat[own], minlength=1 << BITS)
+        ratio = np.log((pos + 0.5) / (n_pos + 1)) - np.log((both - pos + 0.5) / (len(y) - n_pos + 1))
+        weights, intercept = fit_logistic(flat, sizes, y, np.where(both > 0, ratio, 0))
+        model = NgramModel((weights * np.where(both > 0, ratio, 0)).astype(np.float32), intercept)
+    else:
+        model = NgramModel.constant((n_pos + 1) / (len(y) + 2))
+    yield pa.RecordBatch.from_arrays(
+        [pa.array([model.intercept]), pa.array([model.table.tobytes()], pa.binary())], names=["intercept", "weights"]
+    )
+
+
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
           label_col: str = "toxic", sample_rows: int = 8_000) -> NgramModel:
     """Fits on at most ``sample_rows`` labelled documents outside the held-out fold, on all their buckets.
 
-    With one class or no rows the model is constant.
+    The n-grams are taken where the texts are; one task then fits the bounded sample, and only
+    the finished table (four bytes a bucket) comes to the driver.  With one class or no rows the
+    model is constant.
     """
     sample = stash(labelled_sample(docs, labels, label_col, FOLDS, HELD_OUT, sample_rows, id_col, text_col), "sample")
-    size = {r.label: r.n for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    n_pos, n_neg = size.get(1, 0), size.get(0, 0)
-    if not n_pos or not n_neg:
-        return NgramModel.constant((n_pos + 1) / (n_pos + n_neg + 2))
-    seen = (
-        sample.select("label", "text")
-        .mapInArrow(_counts, "bucket long, pos long, neg long")
-        .groupBy("bucket")
-        .agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-        .toArrow()  # at most 2**BITS rows
-    )
-    pos, neg = (seen.column(c).to_numpy().astype(float) for c in ("pos", "neg"))
-    ratio = np.zeros(1 << BITS)
-    ratio[seen.column("bucket").to_numpy()] = np.log((pos + 0.5) / (n_pos + 1.0)) - np.log((neg + 0.5) / (n_neg + 1.0))
-    rows = sample.mapInArrow(_distinct, "doc_id long, label int, at array<int>").toArrow()
-    order = np.argsort(rows.column("doc_id").to_numpy(), kind="stable")
-    rows = rows.take(order).combine_chunks()
-    at = rows.column("at").combine_chunks()
-    at = at.chunk(0) if isinstance(at, pa.ChunkedArray) else at
-    flat, sizes = at.flatten().to_numpy(), np.diff(at.offsets.to_numpy())
-    weights, intercept = fit_logistic(flat, sizes, rows.column("label").to_numpy().astype(float), ratio)
-    return NgramModel((weights * ratio).astype(np.float32), intercept)
+    rows = sample.mapInArrow(_distinct, "doc_id long, label int, at array<int>")
+    fitted = rows.repartition(1).sortWithinPartitions("doc_id", "label").mapInArrow(_fit, "intercept double, weights binary").first()
+    if fitted is None:  # no rows, no task
+        return NgramModel.constant(0.5)
+    return NgramModel(np.frombuffer(fitted.weights, np.float32), fitted.intercept)
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
