@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tidemark.llm.crf import Classes
-from tidemark.llm.pii import ADDED_KINDS, KINDS, base_spans, find_personal_data, labelled_table, luhn, redact, trained
+from tidemark.llm.pii import ADDED_KINDS, KINDS, _beside, base_spans, find_personal_data, labelled_table, luhn, redact, trained
 
 PATTERNS = (
     r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
@@ -123,3 +123,43 @@ def test_long_words_keep_their_features(documents):
     before = len(classes._of_word)
     classes.ids(["x1" * 10_000, "1-" * 10_000 + "1"])
     assert len(classes._of_word) == before and np.isfinite(crf.potentials(classes)).all()
+
+
+#: Written by hand, in forms that the labelled table does not have: (text, kind, what must be within a span).
+OTHERS = [
+    ("aws_secret_access_key = wJalrXUtnFEMIK7MDENGbPxRfiCYEXAMPLEKEY", "secret", "wJalrXUtnFEMIK7MDENGbPxRfiCYEXAMPLEKEY"),
+    ("then set CLIENT_SECRET: 9f86d081884c7d659a2feaa0c55ad015 and go", "secret", "9f86d081884c7d659a2feaa0c55ad015"),
+    ("export password=Tr0ub4dor3xYz9q1 now", "secret", "Tr0ub4dor3xYz9q1"),
+    ("the token 5f4dcc3b5aa765d61d8327deb882cf99 expired", "secret", "5f4dcc3b5aa765d61d8327deb882cf99"),
+    ("please ring 020 7946 0958 after six", "local_phone", "020 7946 0958"),
+    ("you can call 06 12 34 56 78 today", "local_phone", "06 12 34 56 78"),
+    ("fax 555-867-5309 or write", "local_phone", "555-867-5309"),
+    ("phone (212) 555-0188 for more", "local_phone", "(212) 555-0188"),
+    ("write to jane at mailbox dot org please", "contact", "jane at mailbox dot org"),
+    ("mail bob (at) corp (dot) com soon", "contact", "bob (at) corp (dot) com"),
+]
+
+
+def test_forms_that_were_not_generated(documents):
+    out = {r.doc_id: r.spans for r in find_personal_data(documents([(i, t) for i, (t, *_) in enumerate(OTHERS)])).collect()}
+    found = 0
+    for i, (text, kind, wanted) in enumerate(OTHERS):
+        at = text.index(wanted.strip("()"))
+        spans = [x.split(":") for x in out[i].split(",") if x]
+        found += any(k == kind and int(a) <= at and int(b) >= at + len(wanted.strip("()")) for k, a, b in spans)
+    assert found >= len(OTHERS) - 1
+
+
+def test_an_added_span_over_a_base_span_stays(documents):
+    secret = "a4bx" + "4111111111111111" + "x9d8e7"
+    text = f"token = {secret} end, card 4111 1111 1111 1111"
+    (r,) = find_personal_data(documents([(1, text)])).collect()
+    assert r.n_card == 2 and f"secret:8:{8 + len(secret)}" in r.spans.split(",")
+    assert "a4bx" not in redact(text, r.spans) and "x9d8e7" not in redact(text, r.spans)
+
+
+def test_spans_within_base_spans_are_left_out():
+    base = [(0, 0, 10), (5, 3, 30), (40, 1, 44)]
+    more = [(2, 6, 9), (6, 5, 31), (20, 5, 30), (39, 6, 44), (41, 6, 44), (50, 6, 60)]
+    slow = [s for s in more if not any(b[0] <= s[0] and s[2] <= b[2] for b in base)]
+    assert _beside(base, more) == slow == [(6, 5, 31), (39, 6, 44), (50, 6, 60)]

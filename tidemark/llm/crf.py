@@ -10,18 +10,28 @@ same result.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
 import numpy as np
 
+# Words that stand beside personal data, and words of which names of secrets are made.
 KEYWORDS = frozenset(
-    "token secret password passwd pwd key api_key apikey access_key bearer auth = : phone tel call fax mobile "
+    "token secret password passwd pwd key api_key apikey access_key bearer auth = : phone tel call fax mobile ring dial cell "
     "at (at) [at] dot (dot) [dot] com org net mail email hash".split()
 )
+SECRET_WORDS = frozenset("token secret password passwd pwd key apikey auth credential".split())
+_JOINED = re.compile(r"[_.-]")
+ASSIGNED = re.compile(r"[\"'`]?([A-Za-z][A-Za-z0-9_.-]*)[\"'`]?[=:](?=.)")
 _TRIM = "\"'`.,;:!?()[]{}<>#$%&*|"
 _QUOTES = "\"'`"
 
 
+def names_secret(low: str) -> bool:
+    """Whether a lower-case name is made of several words of which one says that a secret follows."""
+    return not SECRET_WORDS.isdisjoint(_JOINED.split(low.strip("=:")))
+
+
 def word_features(word: str) -> tuple[str, ...]:
     """Shape features of one whitespace-separated word."""
     low = word.lower()
@@ -33,13 +43,20 @@ def word_features(word: str) -> tuple[str, ...]:
         return ("kw=" + low, "trimmed") + (("ends=:",) if word[-1] in ":=" else ())
     if not bare:
         return ("marks",)
+    if not any(c.isdigit() for c in low) and names_secret(low):
+        return ("kw=compound",) + (("ends=:",) if word[-1] in ":=" else ())
+    assigned = ASSIGNED.match(word)
+    if assigned and names_secret(assigned[1].lower()):
+        return ("assigns", f"len={min((len(word) - assigned.end()) // 4, 6)}")
     if bare.isalpha():
         case = "lower" if bare.islower() else "upper" if bare.isupper() else "title" if bare.istitle() else "mixed"
         return ("alpha", "case=" + case)
     digits = sum(c.isdigit() for c in bare)
     out = [f"len={min(len(bare) // 4, 6)}", f"digits={min(digits, 4)}"]
     if bare.isdigit():
-        out.append("number")
+        out += ["number", f"long={min(len(bare), 9)}"]
+        if bare[0] == "0":
+            out.append("zero")
     elif all(c in "0123456789-.()" for c in word.rstrip(".,;!?")):
         groups = "-".join(str(len(g)) for g in bare.replace(".", "-").replace("(", "-").replace(")", "-").split("-"))
         out += ["grouped", "groups=" + groups]

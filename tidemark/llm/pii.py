@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.crf import _TRIM, Classes, Crf
+from tidemark.llm.crf import _TRIM, ASSIGNED, Classes, Crf, names_secret
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 ADDED_KINDS = ("contact", "local_phone", "secret")
@@ -99,19 +99,23 @@ def base_spans(text: str) -> list[Span]:
 
 
 # The forms of the labelled table: {C}, {L}, {S} stand for a contact, a local phone and a
-# secret, {N} for an ordinary number, {W} for ordinary words.
+# secret, {A} for a secret behind its name in one word, {K} for such a name alone, {N} for an
+# ordinary number, {W} for ordinary words, {R} for words that often stand beside such data.
 FORMS = (
     "{W} token = {S} {W}", "{W} secret: {S} {W}", "{W} password is {S} {W}", "{W} api_key = {S} {W}",
     "{W} access_key: {S} {W}", "{W} bearer {S} {W}", "{W} the pwd {S} {W}", "{W} key = {S}",
     "{W} reach {C} {W}", "{W} write to {C} {W}", "{W} mail {C}", "{C} {W}",
     "{W} call {L} {W}", "{W} tel: {L} {W}", "{W} phone {L}", "{W} fax {L} {W}",
     "{W} hash {N} {W}", "{W} {N} {W}", "{W} at {N} {W}", "{W}", "{W} at the {W} dot {W}", "{W} token {W}",
+    "{W} {K} = {S} {W}", "{W} {K}: {S}", "{W} {A} {W}", "{A}", "{W} ring {L} {W}", "{W} dial {L}", "{W} mobile: {L} {W}",
+    "{W} {K} {W}", "{W} ring {W}", "{W} {N} {N} {N} {W}", "{W} from {N} to {N} {W}", "{N} {N}", "{W} call {N} {W}", "ring {N} {N} {W}",
+    "{R} {W}", "{W} {R}", "{R} {R}", "{W} {R} {W} {R}", "{R}", "{R} {L} {W}", "{R} {S}",
     "{W} at at at {W} dot dot {W}", "at at at at at at", "{W} At At At At {W}",
     "{W} key {W}", "{W} = {N} {W}", "{W} call {W}", "{W} at {W}", "{N} {W} {N}", "{W} number {N}",
 )
 
 
-def labelled_table(rows: int = 240, seed: int = 11) -> list[tuple[list[str], list[int]]]:
+def labelled_table(rows: int = 550, seed: int = 11) -> list[tuple[list[str], list[int]]]:
     """Generated rows (words, states) for training."""
     rng = random.Random(seed)
     syllables = "an en er th st on ti re ou ha la de un sch ver ge ción que é ment aux vi ll or ing".split()
@@ -136,23 +140,42 @@ def labelled_table(rows: int = 240, seed: int = 11) -> list[tuple[list[str], lis
 
     def phone() -> list[str]:
         a, b, c = text("23456789", 3, 3), text("0123456789", 3, 3), text("0123456789", 4, 4)
-        return rng.choice([[f"{a}-{b}-{c}"], [f"({a})", f"{b}-{c}"], [f"{a}.{b}.{c}"], [f"{b}-{c}"]])
+        pairs = [text("0123456789", 2, 2) for _ in range(4)]
+        return rng.choice(
+            [[f"{a}-{b}-{c}"], [f"({a})", f"{b}-{c}"], [f"{a}.{b}.{c}"], [f"{b}-{c}"], ["0" + text("123456789", 1, 1), *pairs],
+             ["0" + text("123456789", 2, 3), text("123456789", 4, 4), c], ["0" + text("123456789", 2, 4), c + a], ["-".join(pairs) + "-" + pairs[0]]]
+        )
+
+    def name() -> str:
+        first = rng.choice(["aws", "client", "db", "my", "access", "x"])
+        out = rng.choice(["_", "-"]).join([first, *rng.choice([["secret"], ["token"], ["api", "key"], ["secret", "access", "key"], ["password"]])])
+        return rng.choice([out, out.upper()])
+
+    def assigned() -> list[str]:
+        return [rng.choice([name(), "token", "password", "key", "secret", "pwd"]) + rng.choice("=:") + secret()[0]]
 
     def number() -> list[str]:
         return [rng.choice([text("123456789", 1, 6), text("0123456789", 16, 16), "3.14", "10-20", "2024-05-01", "v2.0", "4x4", "b2b"])]
 
-    make = {"C": (contact, 0), "L": (phone, 1), "S": (secret, 2)}
+    def noise() -> list[str]:
+        near = ["at", "dot", "token", "key", "call", "tel", "phone", "secret", "|", "=", "the", "1999", "2024", "2031"]
+        return [rng.choice([*near, word(), number()[0]]) for _ in range(rng.randint(3, 9))] + ["und"]
+
+    make = {"C": (contact, 0), "L": (phone, 1), "S": (secret, 2), "A": (assigned, 2)}
     table = []
     for i in range(rows):
         words, states = [], []
         for part in FORMS[i % len(FORMS)].split():
-            slot = part.strip("{}") if part[0] == "{" else ""
+            slot = part[1] if part[0] == "{" else ""
             if slot in make:
                 form, kind = make[slot]
                 own = form()
                 states += [1 + 2 * kind] + [2 + 2 * kind] * (len(own) - 1)
             else:
-                own = [word() for _ in range(rng.randint(1, 7))] if slot == "W" else number() if slot == "N" else [part]
+                if slot == "W":
+                    own = [word() for _ in range(rng.randint(1, 7))]
+                else:
+                    own = number() if slot == "N" else noise() if slot == "R" else [part.replace("{K}", name())]
                 states += [0] * len(own)
             words += own
         table.append((words, states))
@@ -183,13 +206,27 @@ def added_spans(text: str, words: list[str], states: np.ndarray) -> Iterator[Spa
         while j < n and states[j] == 2 + 2 * kind:
             j += 1
         start, end = place[i][0], place[j - 1][1]
-        start += len(words[i]) - len(words[i].lstrip(_TRIM))
+        named = ASSIGNED.match(words[i]) if kind == 2 else None
+        first = words[i][named.end() :] if named and names_secret(named[1].lower()) else words[i]
+        start += len(words[i]) - len(first.lstrip(_TRIM))
         end -= len(words[j - 1]) - len(words[j - 1].rstrip(_TRIM))
         if start < end:
             yield start, len(BASE_KINDS) + int(kind), end
         i = j
 
 
+def _beside(base: list[Span], more: list[Span]) -> list[Span]:
+    """The added spans that do not lie within one base span: those would tell nothing new."""
+    out, at, reach = [], 0, 0
+    for span in more:  # both are in the order of their starts
+        while at < len(base) and base[at][0] <= span[0]:
+            reach = max(reach, base[at][2])
+            at += 1
+        if span[2] > reach:
+            out.append(span)
+    return out
+
+
 def written(spans: list[Span]) -> str:
     return ",".join(f"{KINDS[kind]}:{start}:{end}" for start, kind, end in spans)
 
@@ -212,7 +249,7 @@ def _finder(crf: Crf):
                     base = base_spans(text)
                     own = states[ends[i] : ends[i + 1]]
                     more = list(added_spans(text, words[i], own)) if own.any() else []
-                    more = [s for s in more if not any(s[0] < b[2] and b[0] < s[2] for b in base)]
+                    more = _beside(base, more)
                     counts.append(np.bincount([k for _, k, _ in base], minlength=4)[:4])
                     base_out.append(hashlib.sha256(written(base).encode()).hexdigest())
                     all_out.append(written(sorted(base + more)))
@@ -228,9 +265,11 @@ def _finder(crf: Crf):
 def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans.
 
-    The counts and the digest are of the pattern spans; ``spans`` lists these and the added
-    ones that do not overlap them, as ``kind:start:end`` in code points.  Null texts count as
-    empty and have no spans.  Repeated rows come back repeated.
+    The counts and the digest are of the pattern spans; ``spans`` lists these and all added
+    ones that do not lie within one of them, as ``kind:start:end`` in code points, by start and
+    then kind; spans may overlap.  Null texts count as empty and have no spans; texts and words
+    of any length are read whole.  Repeated rows come back repeated, null ids stay null, an
+    empty table gives an empty result, and other columns are not looked at.
     """
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
         _finder(trained()),
@@ -239,7 +278,7 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def redact(text: str, spans: str) -> str:
-    """``text`` with every listed span replaced by its kind in brackets; overlaps are merged."""
+    """``text`` with every listed span replaced by its kind in brackets; of overlapping ones the first kind names all."""
     out, at = [], 0
     for entry in filter(None, spans.split(",")):
         kind, start, end = entry.split(":")
