@@ -84,7 +84,7 @@ def test_the_rest_stands_without_llm(tmp_path):
         "class Gone:\n"
         "    def find_spec(self, name, path=None, target=None):\n"
         "        if name.startswith('tidemark.llm') or name == 'corpus_pipeline':\n"
-        "            raise ModuleNotFoundError(name)\n"
+        "            raise ModuleNotFoundError(name, name=name)\n"
         "sys.meta_path.insert(0, Gone())\n"
         "import __spark_entry__ as e\n"
         "assert 'dedupe_latest' in e.queries() and not any(n.startswith('op') for n in e.queries()) and 'pipeline' not in e.queries()\n"
