@@ -1,6 +1,6 @@
 """Operators on hand-built rows."""
 
-from datetime import date, datetime
+from datetime import date, datetime, timedelta
 from decimal import Decimal
 
 import pytest
@@ -180,3 +180,44 @@ def test_kpi_nulls(spark):
     assert (x.incurred_losses, x.avg_severity) == (Decimal("10.00"), Decimal("10.00"))
     assert (y.policies_in_force, y.claim_count, y.earned_premium, y.loss_ratio) == (1, 0, Decimal("10.00"), None)
     assert (y.incurred_losses, y.claim_frequency, y.avg_severity) == (Decimal("0.00"), 0.0, None)
+
+
+def test_rows_of_equal_time_do_not_depend_on_the_input_order(spark):
+    rows = [row("a", 1, s, "2026-01-01", "2026-02-01") for s in ("x", "y", "z")]
+    found = set()
+    for order in ((0, 1, 2), (2, 1, 0), (1, 2, 0)):
+        df = spark.createDataFrame([rows[i] for i in order], SCHEMA).repartition(3)
+        found.add(apply_history(None, df, POLICY, 1).where("is_current").first().status)
+    assert len(found) == 1
+
+
+def test_history_takes_only_what_is_newer_than_the_open_version(spark):
+    make = lambda *rows: spark.createDataFrame([row(*r) for r in rows], SCHEMA)
+    first = apply_history(None, make(("a", 1, "x", "2026-01-01", "2026-02-01")), POLICY, 1)
+    late = make(("a", 2, "old", "2026-01-01", "2026-01-31"), ("a", 3, "same", "2026-01-01", "2026-02-01"), ("b", 1, "n", "2026-01-01", "2026-01-05"))
+    out = apply_history(first, late, POLICY, 2).collect()
+    assert sorted((r.k, r.status, r.batch_id) for r in out) == [("a", "x", 1), ("b", "n", 2)]
+
+
+def test_as_of_join_against_brute_force(spark):
+    """Hot keys, events at both ends of intervals, before the first, in gaps, without a key or a time."""
+    t = lambda n: datetime(2026, 1, 1) + timedelta(hours=n)
+    versions = [(k, v, t(a), t(b)) for k in ("hot", "b") for v, a, b in (("one", 2, 5), ("none", 5, 5), ("two", 5, 9), ("three", 11, 20))]
+    versions.append((None, "nobody", t(0), t(50)))
+    events = [(i, k, t(h)) for i, (k, h) in enumerate([("hot", h) for h in range(25)] * 3 + [("b", 5), ("c", 5), (None, 3)])] + [(999, "b", None)]
+    out = as_of_join(
+        spark.createDataFrame(events, "id int, k string, at timestamp"),
+        spark.createDataFrame(versions, "k string, name string, effective_from timestamp, effective_to timestamp"),
+        "k",
+        F.col("e.at"),
+    )
+    want = [
+        (i, next((v for vk, v, a, b in versions if vk == k and k is not None and at is not None and a <= at < b), None)) for i, k, at in events
+    ]
+    assert sorted(((r.id, r.name) for r in out.select("e.id", "v.name").collect()), key=str) == sorted(want, key=str)
+
+
+def test_in_force_without_months_is_empty(spark):
+    versions = spark.createDataFrame([("p", t, t, t, t) for t in [datetime(2026, 1, 1)]], "k string, effective_from timestamp, effective_to timestamp, a timestamp, b timestamp")
+    months = spark.createDataFrame([], "month_start date")
+    assert in_force_by_month(versions, months, "a", "b").count() == 0

@@ -6,12 +6,13 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.cli import main
+from tidemark.cli import batches_in, main
 from tidemark.config import Settings
-from tidemark.errors import BatchOrderError, GateClosedError, ReconciliationError
+from tidemark.errors import BatchOrderError, GateClosedError, MissingFeedError, ReconciliationError
 from tidemark.operators.quarantine import REJECT_SCHEMA
 from tidemark.plans import pipeline
 from tidemark.plans.tables import TableStore
+from tidemark.sources.files import Files
 
 RULES = str(Path(__file__).parent.parent / "config" / "rules.yaml")
 
@@ -51,6 +52,14 @@ def test_two_batches_and_a_replay(spark, place, feeds):
     assert store.table("gold.kpi_loss_ratio_monthly").count() == second.gold_rows["kpi_loss_ratio_monthly"] > 0
     assert not {"first_name", "last_name", "email", "date_of_birth"} & set(store.table("gold.dim_customer").columns)
 
+    both = store.slices("rejects.claims", REJECT_SCHEMA)
+    assert {r.batch_id: r["count"] for r in both.groupBy("batch_id").count().collect()} == {b: plans[b].planted["claims"].total() for b in (1, 2)}
+    out = f"{place.lakehouse_root}/exported"
+    store.export("rejects.claims", out)
+    store.export("rejects.claims", out, batch=2)  # replaces the partitions of its batch, leaves the others
+    assert spark.read.parquet(out).count() == both.count()
+    assert {p.name for p in Path(out).glob("batch_id=*")} == {"batch_id=1", "batch_id=2"}
+
     before = {n: sorted(map(str, store.table(n).drop("ingested_at").collect())) for n in store.manifest().tables}
     again = pipeline.run_batch(spark, place, 2)
     after = {n: sorted(map(str, store.table(n).drop("ingested_at").collect())) for n in store.manifest().tables}
@@ -123,3 +132,31 @@ def test_exit_codes(spark, feeds, tmp_path):
     with pytest.raises(SystemExit) as e:
         main(["--batch", "none", *given])
     assert e.value.code == 64
+
+
+def test_a_commit_is_refused_after_another(spark, tmp_path):
+    store = TableStore(spark, str(tmp_path / "lake"))
+    one, other = store.begin(1), store.begin(1)
+    one.put("t", spark.range(3))
+    one.commit()
+    other.put("t", spark.range(5))
+    with pytest.raises(BatchOrderError, match="another run"):
+        other.commit()
+    assert store.table("t").count() == 3
+
+
+def test_batches_are_listed_in_any_store(spark, tmp_path):
+    for name in ("batch_10", "batch_2", "batch_x", "other"):
+        (tmp_path / name).mkdir()
+    files = Files(spark)
+    assert batches_in(files, str(tmp_path)) == batches_in(files, f"file://{tmp_path}") == [2, 10]
+    with pytest.raises(MissingFeedError):
+        batches_in(files, f"file://{tmp_path}/nowhere")
+
+
+def test_caches_of_the_caller_stay(spark, place):
+    held = spark.range(7).cache()
+    held.count()
+    pipeline.run_batch(spark, place, 1)
+    assert held.storageLevel.useMemory
+    held.unpersist()

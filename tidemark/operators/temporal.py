@@ -40,11 +40,9 @@ def in_force_by_month(versions: DataFrame, months: DataFrame, start: str, end: s
     no nested loop is needed.  At the month's end means: midnight after its last day lies in
     (effective_from, effective_to], which exactly one version of a key satisfies.
     """
-    bounds = months.agg(F.min("month_start").alias("low"), F.max("month_start").alias("high")).first()
-    if bounds.low is None:
-        return versions.withColumn("month_start", F.lit(None).cast("date")).where(F.lit(False))
-    low = F.greatest(F.trunc(start, "month"), F.lit(bounds.low))
-    high = F.least(F.trunc(end, "month"), F.lit(bounds.high))
+    # scalar subqueries: no job runs while the plan is built; bounds that are unknown do not cut
+    low = F.greatest(F.trunc(start, "month"), months.agg(F.min("month_start")).scalar())
+    high = F.least(F.trunc(end, "month"), months.agg(F.max("month_start")).scalar())
     spread = versions.where(low <= high).withColumn(
         "month_start", F.explode(F.sequence(low, high, F.expr("interval 1 month")))
     )
