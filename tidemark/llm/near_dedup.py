@@ -248,8 +248,9 @@ def _judged(
         "links",
     )
     others = members.join(hubs, "key").where(~F.array_contains("hubs", F.col("id"))).select("key", "id")
-    more = _undecided(others, links, nodes, sets, percent, cell_shingles)
-    found = components(links.unionByName(more)).select(F.col("node").alias("id"), "component")
+    joined = stash(components(links).select(F.col("node").alias("id"), "component"), "joined")
+    more = _undecided(others, joined, nodes, sets, percent, cell_shingles)
+    found = _merged(joined, more)
     linked = classes.select("set_key", "id", "doc_id").join(found, "id", "left")
     least = linked.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("least"))
     named_classes = linked.join(least, "component", "left").select(
@@ -269,18 +270,32 @@ def _judged(
     )
 
 
-def _undecided(others: DataFrame, links: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int, limit: int) -> DataFrame:
+def _merged(joined: DataFrame, more: DataFrame) -> DataFrame:
+    """The components (id, component) after ``more`` links: only components that these join are looked at."""
+    ends = more.select(F.explode(F.array("u", "v")).alias("id")).distinct()
+    alone = ends.join(joined, "id", "left_anti").select("id", F.col("id").alias("component"))
+    whole = joined.unionByName(alone)
+    name = lambda side: whole.select(F.col("id").alias(side), F.col("component").alias(f"{side}_component"))
+    between = more.join(name("u"), "u").join(name("v"), "v")
+    merged = components(between.select(F.col("u_component").alias("u"), F.col("v_component").alias("v")))
+    renamed = merged.select(F.col("node").alias("component"), F.col("component").alias("whole"))
+    return whole.join(renamed, "component", "left").select("id", F.coalesce("whole", "component").alias("component"))
+
+
+def _undecided(others: DataFrame, joined: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int, limit: int) -> DataFrame:
     """Step 3: links (u, v) that join components of one family, found cell by cell.
 
     ``others`` are the members (key, id) of buckets that are no hubs: hubs were held against all.
+    ``joined`` are the components (id, component) so far.
     """
-    joined = components(links).select(F.col("node").alias("id"), "component")
     labelled = others.join(joined, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-    several = (
+    # written, so that the join below shuffles both sides plainly and AQE can deal out a hot bucket
+    several = stash(
         labelled.groupBy("key")
         .agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("id").alias("first"))
         .where("low < high")
-        .select("key", "first")
+        .select("key", "first"),
+        "several",
     )
     open_ = stash(labelled.join(several, "key").select("id", "component", "first").distinct(), "open")
     families = components(open_.select(F.col("id").alias("u"), F.col("first").alias("v"))).select(
