@@ -113,7 +113,7 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _counts(vocabulary: BitFilter, most_held: int = 300_000):
+def _counts(vocabulary: BitFilter, most_held: int = 50_000):
     """(token, number of documents that have it) of the tokens that the filter lets pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,18 +154,18 @@ def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary())], names=["key"])
 
 
-def _candidates(prefixes: BitFilter, whole: BitFilter, lengths: list[int], most_held: int = 300_000):
+def _candidates(prefixes: BitFilter, whole: BitFilter, lengths: list[int], most_held: int = 50_000):
     """Of each document its number of words and its possible windows with their starts."""
     forms = [(place, n) for n in lengths for place in range(n)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[bytes, list[tuple[int, int]]] = {}
+        known: dict[bytes, tuple] = {}
         for batch in batches:
             sizes, found = [], []
             for words in _texts(batch.column(1)):
                 distinct = set(words)
                 for token in distinct.difference(known):
-                    known[token] = [f for f in forms if _prefix(token, *f) in prefixes] if token in prefixes else []
+                    known[token] = tuple(f for f in forms if _prefix(token, *f) in prefixes) if token in prefixes else ()
                 live = {t for t in distinct if known[t]}
                 own: dict[bytes, list[int]] = {}
                 dull: set[bytes] = set()

@@ -167,8 +167,8 @@ def build_tokenizer(model: SpModel):
 class Codec:
     """Encodes and decodes batches; ``reference_ids`` are the reference implementation's."""
 
-    #: Characters of distinct words that are kept with their ids, at most.
-    MOST_HELD = 10_000_000
+    #: Characters of distinct words that are kept with their ids, at most: some 60 MB in a worker.
+    MOST_HELD = 3_000_000
     #: Words that go to the library as one pre-split sequence.
     CHUNK = 2_000
 
@@ -361,6 +361,7 @@ def encode_documents(
                     names=["doc_id", "ids", "n_tokens", "round_trip", "parity"],
                 )
                 at += len(texts)
+        pa.default_memory_pool().release_unused()  # the worker goes on to other tasks
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
         run, "doc_id long, ids array<int>, n_tokens long, round_trip boolean, parity boolean"
