@@ -2,7 +2,8 @@
 
 Text is folded to lower-case words with single spaces; its distinct 4- and 5-grams are
 hashed into buckets.  Over a bounded labelled sample, written once, the log-count ratio of
-every bucket that occurs is counted, and a logistic regression is fitted on all of these.
+every bucket that occurs is counted, and a logistic regression is fitted on all of these; its
+margins are calibrated on parts of the sample that were left out.
 Scoring adds up a dense table's weights of each whole text's distinct buckets.
 """
 
@@ -107,7 +108,7 @@ def lbfgs(loss, w: np.ndarray, rounds: int, memory: int = 8) -> np.ndarray:
 
 
 def fit_logistic(
-    flat: np.ndarray, sizes: np.ndarray, y: np.ndarray, ratio: np.ndarray, *, rounds: int = 30, l2: float = 1e-3, chunk: int = 1 << 21
+    flat: np.ndarray, sizes: np.ndarray, y: np.ndarray, ratio: np.ndarray, *, rounds: int = 15, l2: float = 1e-3, chunk: int = 1 << 21
 ) -> tuple[np.ndarray, float]:
     """Weights over NB-scaled binary features on the full sample, and the intercept.
 
@@ -135,6 +136,59 @@ def fit_logistic(
     return w[:-1], float(w[-1])
 
 
+SMOOTHING = 3.0  # documents added to each count of the log-count ratios
+LEFT_OUT = 3  # every third row of the sample is scored by a model of the others to calibrate the scores
+
+
+def _rows(flat: np.ndarray, sizes: np.ndarray, keep: np.ndarray) -> np.ndarray:
+    """The features of some rows."""
+    return flat[np.repeat(keep, sizes)]
+
+
+def fit_table(flat: np.ndarray, sizes: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
+    """Weight of every bucket, ratio included, and the intercept."""
+    pos, both = np.zeros(1 << BITS), np.zeros(1 << BITS)
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    for part in np.array_split(np.arange(len(y)), 1 + len(flat) // (1 << 21)):
+        own = flat[ends[part[0]] : ends[part[-1] + 1]]
+        pos += np.bincount(own, np.repeat(y[part], sizes[part]), 1 << BITS)
+        both += np.bincount(own, minlength=1 << BITS)
+    n_pos, k = y.sum(), SMOOTHING
+    ratio = np.log((pos + k) / (n_pos + 2 * k)) - np.log((both - pos + k) / (len(y) - n_pos + 2 * k))
+    ratio[both == 0] = 0
+    weights, intercept = fit_logistic(flat, sizes, y, ratio)
+    return weights * ratio, intercept
+
+
+def _margins(flat: np.ndarray, sizes: np.ndarray, table: np.ndarray, intercept: float) -> np.ndarray:
+    sums = np.concatenate([[0.0], np.cumsum(table[flat])])
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    return sums[ends[1:]] - sums[ends[:-1]] + intercept
+
+
+def calibration(flat: np.ndarray, sizes: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """Scale and shift that make margins of unseen documents probabilities (1 and 0 where a part lacks a class).
+
+    A part of the sample is scored by a model of the rest; a logistic regression of its labels
+    on these margins, with the targets drawn in a little, gives both numbers.
+    """
+    own = np.arange(len(y)) % LEFT_OUT == 0
+    if len(np.unique(y[own])) < 2 or len(np.unique(y[~own])) < 2:
+        return 1.0, 0.0
+    table, intercept = fit_table(_rows(flat, sizes, ~own), sizes[~own], y[~own])
+    z, y = _margins(_rows(flat, sizes, own), sizes[own], table, intercept), y[own]
+    n_pos, spread = y.sum(), z.std() + 1e-9
+    wanted = np.where(y > 0, (n_pos + 1) / (n_pos + 2), 1 / (len(y) - n_pos + 2))
+
+    def loss(w: np.ndarray) -> tuple[float, np.ndarray]:
+        m = w[0] * z / spread + w[1]
+        error = (1 / (1 + np.exp(-np.clip(m, -30, 30))) - wanted) / len(y)
+        return float((np.logaddexp(0, m) - wanted * m).mean()), np.array([(error * z / spread).sum(), error.sum()])
+
+    scale, shift = lbfgs(loss, np.array([1.0, 0.0]), 100)
+    return max(float(scale / spread), 0.0), float(shift)
+
+
 def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row, the model of all rows: its intercept and its table."""
     labels, lists = [np.zeros(0)], [(np.zeros(0, np.int32), np.zeros(0, np.int64))]
@@ -144,18 +198,12 @@ def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lists.append((at.flatten().to_numpy().copy(), np.diff(at.offsets.to_numpy()).astype(np.int64)))
     y, flat, sizes = np.concatenate(labels), np.concatenate([x for x, _ in lists]), np.concatenate([x for _, x in lists])
     lists.clear()
-    n_pos = y.sum()
-    if 0 < n_pos < len(y):
-        pos, both = np.zeros(1 << BITS), np.zeros(1 << BITS)
-        for part in np.array_split(np.arange(len(y)), 1 + len(flat) // (1 << 21)):
-            own = slice(int(sizes[: part[0]].sum()), int(sizes[: part[-1] + 1].sum()))
-            pos += np.bincount(flat[own], np.repeat(y[part], sizes[part]), 1 << BITS)
-            both += np.bincount(flat[own], minlength=1 << BITS)
-        ratio = np.log((pos + 0.5) / (n_pos + 1)) - np.log((both - pos + 0.5) / (len(y) - n_pos + 1))
-        weights, intercept = fit_logistic(flat, sizes, y, np.where(both > 0, ratio, 0))
-        model = NgramModel((weights * np.where(both > 0, ratio, 0)).astype(np.float32), intercept)
+    if 0 < y.sum() < len(y):
+        table, intercept = fit_table(flat, sizes, y)
+        scale, shift = calibration(flat, sizes, y)
+        model = NgramModel((scale * table).astype(np.float32), scale * intercept + shift)
     else:
-        model = NgramModel.constant((n_pos + 1) / (len(y) + 2))
+        model = NgramModel.constant((y.sum() + 1) / (len(y) + 2))
     yield pa.RecordBatch.from_arrays(
         [pa.array([model.intercept]), pa.array([model.table.tobytes()], pa.binary())], names=["intercept", "weights"]
     )
