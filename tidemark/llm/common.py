@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import suppress
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,6 +67,21 @@ def matching(docs: DataFrame, key: Column, keys: DataFrame, *, keep: bool, max_b
     return found if keep else found.unionByName(probed.where("not maybe").select("row.*"))
 
 
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run`` over batches, after which freed memory goes back to the system: workers live on for other stages."""
+
+    def whole(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            with suppress(OSError, AttributeError):  # where the C library can
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return whole
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only.  Pure ASCII (as many bytes as characters) takes the fast path."""
     return F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import matching, stash
+from tidemark.llm.common import matching, stash, tidy
 
 WINDOW = 13
 # What is no word: the ASCII characters other than letters and digits.  A-Z become a-z.
@@ -139,7 +139,7 @@ def _counts(vocabulary: BitFilter, most_held: int = 50_000):
                     yield flush()
         yield flush()
 
-    return run
+    return tidy(run)
 
 
 def _prefix(token: bytes, place: int, n: int) -> bytes:
@@ -191,7 +191,7 @@ def _candidates(prefixes: BitFilter, whole: BitFilter, lengths: list[int], most_
                 [batch.column(0), pa.array(sizes, pa.int64()), pa.array(found, _FOUND)], names=["doc_id", "n_words", "found"]
             )
 
-    return run
+    return tidy(run)
 
 
 def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import setsketch as sk
-from tidemark.llm.common import matching, stash
+from tidemark.llm.common import matching, stash, tidy
 from tidemark.llm.components import components
 from tidemark.llm.exact_dedup import row_key
 
@@ -56,7 +56,7 @@ def _sketch(width: int):
                 names=["doc_id", "n", "set_key", "regs", "digest"],
             )
 
-    return run
+    return tidy(run)
 
 
 def _sets(width: int):
@@ -67,7 +67,7 @@ def _sets(width: int):
             sets = pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["id", "set"])
             yield sets.filter(pa.array(own, pa.bool_()))
 
-    return run
+    return tidy(run)
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -95,7 +95,7 @@ def _admitted(least: float):
                     )
                     yield part.select(["u", "v"]).filter(pa.array(good))
 
-    return run
+    return tidy(run)
 
 
 def _confirmed(percent: int):
@@ -109,7 +109,7 @@ def _confirmed(percent: int):
             ]
             yield batch.select(["u", "v"]).filter(pa.array(good, pa.bool_()))
 
-    return run
+    return tidy(run)
 
 
 def _cell(percent: int):

@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import tidy
+
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
@@ -361,10 +363,9 @@ def encode_documents(
                     names=["doc_id", "ids", "n_tokens", "round_trip", "parity"],
                 )
                 at += len(texts)
-        pa.default_memory_pool().release_unused()  # the worker goes on to other tasks
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
-        run, "doc_id long, ids array<int>, n_tokens long, round_trip boolean, parity boolean"
+        tidy(run), "doc_id long, ids array<int>, n_tokens long, round_trip boolean, parity boolean"
     )
 
 
