@@ -638,13 +638,18 @@ _LATE = f"""SELECT user_id, event_type, ts, 1 AS batch FROM events WHERE ts < TI
     FROM changed WINDOW k AS (PARTITION BY user_id ORDER BY ts, batch, sha256(event_type))"""
 )
 def scd2_late_rows(spark: SparkSession, d: str) -> DataFrame:
-    """A second batch that also holds rows older than the open versions: the guard drops them."""
+    """A second batch that also holds late rows: the guard drops what is older than the open versions.
+
+    Late rows that are newer than these, but older than a repeat of them, end and reopen them.
+    """
     events = _t(spark, d, "events")
     log = events.select("user_id", "event_type", "ts")
     mark = F.lit(MARK).cast("timestamp_ntz")
-    first = apply_history(None, log.where(F.col("ts") < mark), _HISTORY, 1)
+    sent = log.where(F.col("ts") < mark)
+    first = apply_history(None, sent, _HISTORY, 1)
     late = events.where("event_id % 5 = 0").select("user_id", F.lit("late").alias("event_type"), (F.col("ts") - F.expr("interval 3 days")).alias("ts"))
-    return apply_history(first, log.where(F.col("ts") >= mark).unionByName(late), _HISTORY, 2).select(*_VERSION)
+    second = log.where(F.col("ts") >= mark).unionByName(late)
+    return apply_history(first, second, _HISTORY, 2, seen=sent.withColumn("batch_id", F.lit(1))).select(*_VERSION)
 
 
 @query(_VERSIONS_SQL.format(batch=f"CASE WHEN ts <= TIMESTAMP '{MARK}' THEN 1 ELSE 2 END", source="events"))
