@@ -13,7 +13,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm.common import stash, table
+from tidemark.llm.common import small_batches, stash, table
 from tidemark.llm.decontaminate import drop_contaminated
 from tidemark.llm.exact_dedup import drop_exact_copies
 from tidemark.llm.near_dedup import keep_one_of_each
@@ -44,6 +44,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Five-word shingles, similarity 0.8 or more.  Texts without words, and rows without an id, are
     in no group and stay.
     """
+    small_batches(spark)
     return keep_one_of_each(docs)
 
 
@@ -52,12 +53,17 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
     Texts without words stay, and all stay where the benchmark is empty.
     """
+    small_batches(spark)
     return drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, ids, n_tokens, round_trip, parity of every document left; empty texts have no ids."""
-    return encode_documents(docs, SENTENCEPIECE_MODEL)
+    """doc_id, ids, n_tokens, round_trip, parity of every document left; empty texts have no ids.
+
+    The workers hold less than alone: the executors' heaps have grown by then in the other stages.
+    """
+    small_batches(spark)
+    return encode_documents(docs, SENTENCEPIECE_MODEL, batch_chars=1 << 18, held_chars=1_000_000)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -3,11 +3,13 @@ import struct
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import sentencepiece
 
 from tidemark.llm.queries import SENTENCEPIECE_MODEL
-from tidemark.llm.sentencepiece_codec import BPE, Codec, build_tokenizer, decode_documents, encode_documents, parse_model
+from tidemark.llm.common import small_batches
+from tidemark.llm.sentencepiece_codec import BPE, Codec, _batches, build_tokenizer, decode_documents, encode_documents, parse_model
 
 pytestmark = pytest.mark.skipif(not Path(SENTENCEPIECE_MODEL).exists(), reason="the public tokenizers are not here")
 TEXTS = [
@@ -55,6 +57,29 @@ def test_documents(spark, documents):
     assert encode_documents(documents([]), SENTENCEPIECE_MODEL).count() == 0
 
 
+def test_workers_hold_few_texts_and_words(spark, documents):
+    read = []
+    column = (read.append(t) or pa.scalar(t) for t in ["ab", None, "cd", "e", "f" * 9, "g"])
+    parts = _batches(column, 4)
+    assert next(parts) == ["ab", "", "cd"] and len(read) == 4  # the rest is not unpacked yet
+    assert list(parts) == [["e"], ["f" * 9], ["g"]]
+    rows = list(enumerate(TEXTS))
+    few = encode_documents(documents(rows), SENTENCEPIECE_MODEL, batch_chars=9, held_chars=10).collect()
+    assert sorted(few) == sorted(encode_documents(documents(rows), SENTENCEPIECE_MODEL).collect())
+
+
+def test_small_batches_keep_a_lower_setting(spark):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    try:
+        for given, kept in (("10000", "2000"), ("0", "2000"), ("500", "500")):
+            spark.conf.set(name, given)
+            small_batches(spark)
+            assert spark.conf.get(name) == kept
+    finally:
+        spark.conf.set(name, before)
+
+
 def proto(pieces, kind, charsmap=b"", prefix=1, extra=0):
     """A model file in bytes."""
     field = lambda n, b: bytes([n << 3 | 2]) + _varint(len(b)) + b

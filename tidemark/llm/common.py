@@ -67,6 +67,17 @@ def matching(docs: DataFrame, key: Column, keys: DataFrame, *, keep: bool, max_b
     return found if keep else found.unionByName(probed.where("not maybe").select("row.*"))
 
 
+def small_batches(spark: SparkSession, most_rows: int = 2_000) -> None:
+    """From now on at most ``most_rows`` rows go to a Python worker at once in this session.
+
+    A batch is held outside the JVM's heap and in the worker, each time with room to grow; no
+    result depends on its size.  A lower setting stays.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= most_rows:
+        spark.conf.set(name, str(most_rows))
+
+
 def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     """``run`` over batches, after which freed memory goes back to the system: workers live on for other stages."""
 

@@ -174,17 +174,17 @@ class Codec:
     #: Words that go to the library as one pre-split sequence.
     CHUNK = 2_000
 
-    def __init__(self, data: bytes, threads: int = 2):
+    def __init__(self, data: bytes, threads: int = 2, held_chars: int | None = None):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "true")
         os.environ.setdefault("RAYON_NUM_THREADS", str(threads))
         import sentencepiece
+        from tokenizers import Tokenizer
 
         self.model = parse_model(data)
         self.tokenizer = build_tokenizer(self.model)
         self.reference = sentencepiece.SentencePieceProcessor(model_proto=data)
         self.threads = threads
-        self._words = build_tokenizer(self.model)
-        self._words.normalizer = self._words.pre_tokenizer = None
+        self._words = Tokenizer(self.tokenizer.model)  # the same model, held once
         self._find = re.compile(WORD).findall
         self._identity = not self.model.charsmap and not self.model.remove_extra_whitespaces
         pieces = [p for p, _, _ in self.model.pieces]
@@ -196,6 +196,8 @@ class Codec:
         self._at = np.cumsum(self._size) - self._size
         self._known: dict[str, bytes] = {}
         self._held = 0
+        if held_chars is not None:
+            self.MOST_HELD = held_chars
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         """The ids that the tokenizers library gives."""
@@ -296,15 +298,15 @@ class Codec:
         return out[1:] if self.model.add_dummy_prefix else out
 
 
-_CODECS: dict[tuple[bytes, int], Codec] = {}
+_CODECS: dict[tuple, Codec] = {}
 
 
-def _codec(data: bytes, threads: int) -> Codec:
+def _codec(data: bytes, threads: int, held_chars: int | None = None) -> Codec:
     """One codec a Python worker for each model, known by its content."""
-    key = (hashlib.sha256(data).digest(), threads)
+    key = (hashlib.sha256(data).digest(), threads, held_chars)
     if key not in _CODECS:
         _CODECS.clear()
-        _CODECS[key] = Codec(data, threads)
+        _CODECS[key] = Codec(data, threads, held_chars)
     return _CODECS[key]
 
 
@@ -313,9 +315,11 @@ def _model_bytes(path: str) -> bytes:
         return f.read()
 
 
-def _batches(texts: list[str], most_chars: int) -> Iterator[list[str]]:
+def _batches(column: pa.Array, most_chars: int) -> Iterator[list[str]]:
+    """The texts in order, null as empty, in parts of few characters; only one part is held at a time."""
     part, size = [], 0
-    for text in texts:
+    for value in column:
+        text = value.as_py() or ""
         if part and size + len(text) > most_chars:
             yield part
             part, size = [], 0
@@ -333,6 +337,7 @@ def encode_documents(
     *,
     threads: int = 2,
     batch_chars: int = 1 << 20,
+    held_chars: int | None = None,
 ) -> DataFrame:
     """One row per input row: doc_id, ids, n_tokens, round_trip, parity.
 
@@ -341,15 +346,16 @@ def encode_documents(
     text; known to differ are only runs of hundreds of markers, where merges of equal score tie.  Null and empty texts have no ids and pass both; texts of any length are encoded
     whole.  Repeated rows come back repeated, null ids stay null, an empty table gives an empty
     result, and other columns are not looked at.  The model travels with the job, so executors
-    need not have ``model_path``.
+    need not have ``model_path``.  ``batch_chars`` (texts encoded at once) and ``held_chars``
+    (characters of words kept with their ids) bound a worker's memory and never the result.
     """
     data = _model_bytes(model_path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(data, threads)
+        codec = _codec(data, threads, held_chars)
         for batch in batches:
             at = 0
-            for texts in _batches([x or "" for x in batch.column(1).to_pylist()], batch_chars):
+            for texts in _batches(batch.column(1), batch_chars):
                 ids = codec.encode_arrays(texts)
                 ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
